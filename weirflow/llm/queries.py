@@ -7,14 +7,24 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import html_text, language_id, token_counts, url_filter
+from weirflow.llm import bpe, html_text, language_id, near_dedup, token_counts, url_filter
 from weirflow.llm.common import table
 
 
+def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages are labelled by the row of ``labels`` with their id; toxic or low quality counts as bad."""
     labels = table(spark, sf_dir, "labels")
@@ -36,7 +46,7 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from corpus_pipeline import run
 
-    own = (op2_token_counts, op7_url_filter, op8_language_id, op9_html_text)
+    own = (op1_bpe, op2_token_counts, op6_near_dedup, op7_url_filter, op8_language_id, op9_html_text)
     return {f.__name__: f for f in own} | {"pipeline": run}
 
 

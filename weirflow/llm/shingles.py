@@ -20,7 +20,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def numbers(n: int, seed: int) -> np.ndarray:
     """``n`` well mixed 64-bit numbers, the same everywhere."""
-    return mix(np.arange(1, n + 1, dtype=np.uint64) * GOLDEN + np.uint64(seed) * MIX1)
+    with np.errstate(over="ignore"):
+        return mix(np.arange(1, n + 1, dtype=np.uint64) * GOLDEN + np.uint64(seed) * MIX1)
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -29,8 +30,10 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
         size = max(1 << 16, 2 * n)
         p = int(numbers(1, 11)[0]) | 1
         with np.errstate(over="ignore"):
-            _state["p"] = np.cumprod(np.concatenate(([1], np.full(size, p, np.uint64))).astype(np.uint64))
-            _state["q"] = np.cumprod(np.concatenate(([1], np.full(size, pow(p, -1, 1 << 64), np.uint64))).astype(np.uint64))
+            for name, factor in (("p", p), ("q", pow(p, -1, 1 << 64))):
+                each = np.full(size, factor, np.uint64)
+                each[0] = 1
+                _state[name] = np.cumprod(each, dtype=np.uint64)
     return _state["p"], _state["q"]
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import bpe, html_text, language_id, near_dedup, token_counts, url_filter
+from weirflow.llm import bpe, decontaminate, html_text, language_id, near_dedup, token_counts, url_filter
 from weirflow.llm.common import table
 
 
@@ -43,10 +43,16 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_main_text(table(spark, sf_dir, "pages"))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct(F.transform("found", lambda f: f["item_id"])))
+    return got.select("doc_id", (F.size("found") > 0).alias("contaminated"), items.alias("item_ids"), F.array_min(F.transform("found", lambda f: f["edits"])).alias("least_edits"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from corpus_pipeline import run
 
-    own = (op1_bpe, op2_token_counts, op6_near_dedup, op7_url_filter, op8_language_id, op9_html_text)
+    own = (op1_bpe, op2_token_counts, op6_near_dedup, op7_url_filter, op8_language_id, op9_html_text, op10_decontamination)
     return {f.__name__: f for f in own} | {"pipeline": run}
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import bpe, decontaminate, html_text, language_id, near_dedup, token_counts, url_filter
+from weirflow.llm import bpe, decontaminate, html_text, language_id, line_dedup, near_dedup, token_counts, url_filter
 from weirflow.llm.common import table
 
 
@@ -21,6 +21,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -52,7 +56,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from corpus_pipeline import run
 
-    own = (op1_bpe, op2_token_counts, op6_near_dedup, op7_url_filter, op8_language_id, op9_html_text, op10_decontamination)
+    own = (op1_bpe, op2_token_counts, op4_line_dedup, op6_near_dedup, op7_url_filter, op8_language_id, op9_html_text, op10_decontamination)
     return {f.__name__: f for f in own} | {"pipeline": run}
 
 
@@ -100,5 +104,5 @@ FROM own LEFT JOIN fit ON own.host = fit.host AND own.path = fit.path JOIN rep O
 def oracle_sql() -> dict[str, str]:
     from corpus_pipeline import ORACLE_SQL
 
-    own = {"op7_url_filter": OP7_SQL}
+    own = {"op4_line_dedup": line_dedup.ORACLE, "op7_url_filter": OP7_SQL}
     return own | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})

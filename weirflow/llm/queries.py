@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import bpe, decontaminate, html_text, language_id, line_dedup, near_dedup, token_counts, url_filter
+from weirflow.llm import ann, bpe, chat, decontaminate, html_text, language_id, line_dedup, near_dedup, token_counts, url_filter
 from weirflow.llm.common import table
 
 
@@ -21,10 +21,18 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"))
 
 
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
@@ -56,7 +64,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     from corpus_pipeline import run
 
-    own = (op1_bpe, op2_token_counts, op4_line_dedup, op6_near_dedup, op7_url_filter, op8_language_id, op9_html_text, op10_decontamination)
+    own = (op1_bpe, op2_token_counts, op3_chat_format, op4_line_dedup, op5_nearest, op6_near_dedup, op7_url_filter, op8_language_id, op9_html_text, op10_decontamination)
     return {f.__name__: f for f in own} | {"pipeline": run}
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weirflow.llm import language_id
+from weirflow.llm import bpe, decontaminate, language_id, line_dedup, near_dedup
 from weirflow.llm.common import table, written
 
 
@@ -16,8 +16,38 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return got.where(~F.col("rejected")).select(*docs.columns)
 
 
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Recurring lines go; a document of which nothing else is left goes with them. n_chars follows the text."""
+    got = line_dedup.line_dedup(docs)
+    emptied = (F.col("n_dropped") > 0) & (F.trim(F.regexp_replace("text", r"[\t-\r ]+", " ")) == "")
+    n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return got.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", n_chars).select(*docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the document with the smallest id stays; of rows that repeat it, one."""
+    stays = near_dedup.near_duplicates(docs, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
+    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+
+
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go; the others stay unchanged."""
+    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
+    return found.where(F.size("found") == 0).select(*docs.columns)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and decoded of every document that stays."""
+    got = bpe.decode(bpe.encode(docs))
+    return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
+
+
 STAGES = [
     ("language ID", language_stage),
+    ("line dedup", line_stage),
+    ("near dedup", near_stage),
+    ("benchmark decontamination", benchmark_stage),
+    ("BPE", token_stage),
 ]
 
 #: Compression, sketches and alignment can't be expressed in SQL; the tests compare with brute force.

@@ -12,29 +12,33 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Lineage:
-    """Which input fields each output field equals: name -> {(input, field)}; an empty set is no lineage."""
+    """Which input fields each output field equals: name -> {(input, field)}; an empty set is no lineage.
+
+    inputs are all that the flow derives from, also where no field still shows it.
+    """
 
     fields: dict[str, frozenset[tuple[str, str]]] = field(default_factory=dict)
+    inputs: frozenset[str] = frozenset()
 
     @classmethod
     def source(cls, name: str, columns: Sequence[str]) -> Lineage:
-        return cls({c: frozenset({(name, c)}) for c in columns})
+        return cls({c: frozenset({(name, c)}) for c in columns}, frozenset({name}))
 
     def map(self, **renamed: str | None) -> Lineage:
         """New fields from old ones; None is a computed value without lineage."""
-        return Lineage({k: self.fields.get(v, frozenset()) if v else frozenset() for k, v in renamed.items()})
+        return Lineage({k: self.fields.get(v, frozenset()) if v else frozenset() for k, v in renamed.items()}, self.inputs)
 
     def chain(self, other: Lineage) -> Lineage:
         """Of a shared input only what both branches say; of other inputs what either says."""
-        out = {}
+        shared, out = self.inputs & other.inputs, {}
         for k in self.fields.keys() & other.fields.keys():
             a, b = self.fields[k], other.fields[k]
-            shared = {i for v in self.fields.values() for i, _ in v} & {i for v in other.fields.values() for i, _ in v}
             out[k] = frozenset(x for x in a | b if x[0] not in shared or (x in a and x in b))
-        return Lineage(out)
+        return Lineage(out, self.inputs | other.inputs)
 
     def join(self, other: Lineage, on: str) -> Lineage:
-        return Lineage({**self.fields, **{k: v for k, v in other.fields.items() if k != on}, on: self.fields.get(on, frozenset()) | other.fields.get(on, frozenset())})
+        rest = {k: v for k, v in other.fields.items() if k != on}
+        return Lineage({**self.fields, **rest, on: self.fields.get(on, frozenset()) | other.fields.get(on, frozenset())}, self.inputs | other.inputs)
 
 
 @dataclass(frozen=True)
@@ -48,7 +52,7 @@ class Constraint:
         """Every side's key must trace to a field of its inputs; a side without inputs asks for nothing."""
         options: list[dict[str, str]] = [{}]
         for lineage, name in sides:
-            if not any(lineage.fields.values()):
+            if not lineage.inputs:
                 continue
             options = [o | {i: f} for o in options for i, f in lineage.fields.get(name, ()) if o.get(i, f) == f]
         return cls(tuple(options))
@@ -56,7 +60,7 @@ class Constraint:
     @classmethod
     def impossible(cls, *sides: Lineage) -> Constraint:
         """Global operators: fine only while some side comes from no input."""
-        return cls(() if all(any(s.fields.values()) for s in sides) else ({},))
+        return cls(() if all(s.inputs for s in sides) else ({},))
 
 
 def copartition(constraints: Sequence[Constraint]) -> list[dict[str, str]]:

@@ -16,6 +16,8 @@ from weirflow.llm.shingles import SetSketch, normal, set_key, shingle_set
 
 #: At a similarity of 0.8 a band of four registers agrees with 0.41; that none of 28 does has odds of 4e-7, at 0.85 of 1e-9.
 BANDS, ROWS = 28, 4
+#: Bands whose stars come first; what they link isn't compared again in the others.
+FIRST_BANDS = 4
 #: Members of a bucket compared at once when stars leave it in several components.
 RIGHT_BLOCK, LEFT_BLOCK = 256, 1024
 
@@ -107,44 +109,86 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataF
 
 
 def banded(classes: DataFrame) -> DataFrame:
-    """key, c, id: a row for each class and band; the key hashes the band and its registers."""
+    """band, key, c, id: a row for each class and band; the key hashes the band and its registers."""
     keys = F.array(*[F.xxhash64(F.lit(j), F.substring("regs", 2 * ROWS * j + 1, 2 * ROWS)) for j in range(BANDS)])
-    return classes.select(F.explode(keys).alias("key"), "c", "id")
+    return classes.select(F.posexplode(keys).alias("band", "key"), "c", "id")
 
 
-def stars(bands: DataFrame) -> DataFrame:
-    """Pairs (a, b): the class with the smallest document of each bucket with every other member."""
-    hubs = bands.groupBy("key").agg(F.min(F.struct("id", "c"))["c"].alias("a"), F.count(F.lit(1)).alias("size")).where("size > 1").drop("size")
-    return bands.join(hubs, "key").where("a <> c").select("a", F.col("c").alias("b")).distinct()
+def wanted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """c, id of the classes in pairs."""
+    named = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+    return named.join(classes.select("c", "id"), "c")
 
 
-def remaining(bands: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs between members of a bucket that stars have left in different components.
+def stars(bands: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Pairs (a, b): the first class of each bucket with the first class of each other component in it.
 
-    The members outside the bucket's largest component meet every member, in blocks of bounded size; within
-    the largest component, nothing is left to find. Only pairs that the registers don't rule out come out.
+    Without labels every class is a component of its own. A bucket that lies in one component gives no pair.
+    """
+    own = bands.withColumn("label", F.col("c")) if labels is None else bands.join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
+    parts = own.groupBy("key", "label").agg(F.min(F.struct("id", "c")).alias("first"))
+    hubs = parts.groupBy("key").agg(F.min("first").alias("hub"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("key", "hub")
+    return parts.join(hubs, "key").where("first <> hub").select(F.col("hub.c").alias("a"), F.col("first.c").alias("b")).distinct()
+
+
+def open_buckets(bands: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Members (key, c, label) and the buckets that still hold several components: key, main, nr, nl.
+
+    main is the largest component in the bucket; nr and nl are the numbers of blocks for all members and for
+    those outside main. In buckets of two members the star has decided.
     """
-    own = bands.join(labels, "c", "left").select("key", "c", F.coalesce("label", "c").alias("label"))
+    own = bands.join(labels, "c", "left").select("band", "key", "c", F.coalesce("label", "c").alias("label"))
     parts = own.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    open_ = parts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1 and size > 2")
+    found = parts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1 and size > 2")
     blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
-    open_ = open_.select("key", "main", blocks(F.col("size"), RIGHT_BLOCK).alias("nr"), blocks(F.col("size") - F.col("most"), LEFT_BLOCK).alias("nl"))
-    member = own.join(open_, "key").join(classes.select("c", "n", "regs"), "c")
+    return own, found.select("key", "main", blocks(F.col("size"), RIGHT_BLOCK).alias("nr"), blocks(F.col("size") - F.col("most"), LEFT_BLOCK).alias("nl"))
+
+
+def remaining(own: DataFrame, buckets: DataFrame, classes: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
+    """Links (a, b) between members of a bucket that stars have left in different components.
+
+    The members outside the bucket's largest component meet every member, in blocks of bounded size; within
+    the largest component, nothing is left to find. Pairs that the registers don't rule out are compared on their
+    full sets in the block, each in the first band that brings it together, and only links come out.
+    """
+    member = own.join(buckets, "key").join(classes.select("c", "n", "regs"), "c").join(texts, "c")
     spot = lambda n, seed: F.pmod(F.xxhash64("c", F.lit(seed)), F.col(n)).cast("int")
-    right = member.select("key", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("l"), spot("nr", 1).alias("r"), F.lit(False).alias("left"), "c", "label", "n", "regs")
-    left = member.where("label <> main").select("key", spot("nl", 2).alias("l"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("r"), F.lit(True).alias("left"), "c", "label", "n", "regs")
+    right = member.select("key", F.explode(F.sequence(F.lit(0), F.col("nl") - 1)).alias("l"), spot("nr", 1).alias("r"), F.lit(False).alias("left"), "band", "c", "label", "n", "regs", "z")
+    left = member.where("label <> main").select("key", spot("nl", 2).alias("l"), F.explode(F.sequence(F.lit(0), F.col("nr") - 1)).alias("r"), F.lit(True).alias("left"), "band", "c", "label", "n", "regs", "z")
 
     def meet(rows: pd.DataFrame) -> pd.DataFrame:
-        sketch = _sketch()
+        import zstandard as zstd
+
+        unpack, sketch, sets = zstd.ZstdDecompressor(), _sketch(), {}
+
+        def full(c: int, z: bytes) -> np.ndarray:
+            if c not in sets:
+                s = shingle_set(unpack.decompress(z), k)
+                sets[c] = s if set_key(s)[0] == c else np.zeros(0, np.uint64)
+            return sets[c]
+
         x, y = rows[rows["left"]], rows[~rows["left"]]
         rx, ry = _regs(x["regs"]), _regs(y["regs"])
-        yc, yl, yn = y["c"].to_numpy(), y["label"].to_numpy(), y["n"].to_numpy()
+        yc, yl, yn, yz = y["c"].to_numpy(), y["label"].to_numpy(), y["n"].to_numpy(), y["z"].to_numpy()
+        xc, xl, xn, xz, band = (x[f].to_numpy() for f in ("c", "label", "n", "z", "band"))
+        pairs = []
+        for i in range(len(x)):
+            at = np.flatnonzero((yl != xl[i]) & (np.minimum(yn, xn[i]) * 100 >= np.maximum(yn, xn[i]) * percent))
+            if len(at):
+                alike = (ry[at] == rx[i]).reshape(len(at), BANDS, ROWS).all(axis=2)
+                at = at[alike.argmax(axis=1) == band[i]]
+                pairs.append(np.stack((np.full(len(at), i), at)))
         a, b = [], []
-        for k, (c, label, n) in enumerate(zip(x["c"], x["label"], x["n"], strict=True)):
-            at = np.flatnonzero((yl != label) & (np.minimum(yn, n) * 100 >= np.maximum(yn, n) * percent))
-            at = at[sketch.may_reach(np.broadcast_to(rx[k], (len(at), rx.shape[1])), np.full(len(at), n), ry[at], yn[at], percent / 100)]
-            a += [min(c, o) for o in yc[at]]
-            b += [max(c, o) for o in yc[at]]
+        i, j = np.concatenate(pairs, axis=1) if pairs else np.zeros((2, 0), np.int64)
+        for lo in range(0, len(i), 1 << 14):
+            pi, pj = i[lo : lo + (1 << 14)], j[lo : lo + (1 << 14)]
+            ok = sketch.may_reach(rx[pi], xn[pi], ry[pj], yn[pj], percent / 100)
+            for p, q in zip(pi[ok].tolist(), pj[ok].tolist(), strict=True):
+                mine, other = full(xc[p], xz[p]), full(yc[q], yz[q])
+                both = len(np.intersect1d(mine, other, assume_unique=True))
+                if both and 100 * both >= percent * (len(mine) + len(other) - both):
+                    a.append(min(xc[p], yc[q]))
+                    b.append(max(xc[p], yc[q]))
         return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
     return left.unionByName(right).groupBy("key", "l", "r").applyInPandas(meet, "a bigint, b bigint").distinct()
@@ -155,8 +199,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents are linked if 100 * intersection >= percent * union of their k-word shingle sets; component_id is
     the smallest id reachable over links, kept says that it is the document's own. Documents with equal sets form
-    a class and are compared once. Candidates are the members of a band's bucket: each with the bucket's first
-    document, then, where a bucket still holds several components, the others with all of them. Links are
+    a class and are compared once. Candidates are the members of a band's bucket: in the first bands each with the
+    bucket's first document; then, in every bucket that still holds several components, the first of each with the
+    bucket's first; then, where that leaves several, all members of the smaller ones with all members. Links are
     confirmed on full sets.
     Null, empty and blank texts have no shingles and link with nothing. Repeated rows are all returned, in one
     component. Null ids take part; they are smaller than none, and such a row is kept if its component has no
@@ -165,17 +210,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sketch = written(sketches(docs, id_col, text_col, k), "sketches")
     classes = written(sketch.where("n > 0").groupBy("c").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
     bands = banded(classes)
-    pairs = written(likely(stars(bands), classes, percent), "pairs")
-    named = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    texts = written(packed_texts(docs, named.join(classes.select("c", "id"), "c"), id_col, text_col, k), "texts")
-    links = written(confirmed(pairs, texts, percent, k), "links")
+    few = written(likely(stars(bands.where(F.col("band") < FIRST_BANDS), None), classes, percent), "pairs")
+    texts = written(packed_texts(docs, wanted(few, classes), id_col, text_col, k), "texts")
+    links = written(confirmed(few, texts, percent, k), "links")
+    labels = components(links)
+    pairs = written(likely(stars(bands, labels), classes, percent).join(few, ["a", "b"], "left_anti"), "pairs")
+    own, buckets = open_buckets(bands, labels)
+    buckets = written(buckets, "buckets")
+    members = own.join(buckets, "key", "left_semi").select("c").unionByName(pairs.select(F.col("a").alias("c"))).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
+    unseen = members.join(texts.select("c"), "c", "left_anti").join(classes.select("c", "id"), "c")
+    texts = written(texts.unionByName(packed_texts(docs, unseen, id_col, text_col, k)), "texts")
+    links = written(links.unionByName(confirmed(pairs, texts, percent, k)), "links")
+    labels = components(links)
+    own, buckets = open_buckets(bands, labels)
+    links = written(links.unionByName(remaining(own, buckets, classes, texts, percent, k)), "links")
     labels = components(links)
-    more = written(remaining(bands, labels, classes, percent), "more")
-    if not more.isEmpty():
-        named = more.select(F.col("a").alias("c")).unionByName(more.select(F.col("b").alias("c"))).distinct()
-        unseen = named.join(texts.select("c"), "c", "left_anti").join(classes.select("c", "id"), "c")
-        texts = texts.unionByName(packed_texts(docs, unseen, id_col, text_col, k))
-        labels = components(links.unionByName(confirmed(more, texts, percent, k)))
     parts = classes.select("c", "id").join(labels, "c", "left").select("c", "id", F.coalesce("label", "c").alias("label"))
     least = parts.groupBy("label").agg(F.min("id").alias("component_id"))
     named = parts.join(least, "label").select("c", "component_id")

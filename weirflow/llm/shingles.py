@@ -98,11 +98,11 @@ class SetSketch:
         tiny = 1e-12
         return more * np.log(np.maximum(above, tiny)) + less * np.log(np.maximum(below, tiny)) + same * np.log(np.maximum(1 - above - below, tiny))
 
-    def may_reach(self, x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, least: float, surprise: float = 16.0) -> np.ndarray:
+    def may_reach(self, x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray, least: float, surprise: float = 12.5) -> np.ndarray:
         """For pairs of sketches: False only if sizes or likelihood rule a similarity of ``least`` out.
 
         Ruled out: the smaller set is under ``least`` of the larger, or the most likely similarity is lower and
-        its log-likelihood is over ``surprise`` greater (about 5.6 standard deviations).
+        its log-likelihood is over ``surprise`` greater (five standard deviations).
         """
         nx, ny = nx.astype(np.float64), ny.astype(np.float64)
         fits = np.minimum(nx, ny) >= least * np.maximum(nx, ny) * (1 - 1e-12)

@@ -17,7 +17,8 @@ DIFFERENT = 0.5
 
 def normal_line(line: Column) -> Column:
     """Single spaces between tokens; tokens with a digit are the variable field ``<*>``."""
-    plain = F.trim(F.regexp_replace(line, r"[\t-\r ]+", " "))
+    odd = line.rlike(r"[\t-\r]|  |^ | $")
+    plain = F.when(odd, F.trim(F.regexp_replace(line, r"[\t-\r ]+", " "))).otherwise(line)
     return F.when(plain.rlike("[0-9]"), F.regexp_replace(plain, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*", "<*>")).otherwise(plain)
 
 
@@ -31,12 +32,12 @@ def template_keys(line: Column) -> Column:
     The path is the token count and the leading tokens. Below it the line has its exact template and, if long
     enough, one with a variable end and one with a variable middle: half of its tokens generalised.
     """
-    tokens = F.split(line, " ")
-    n = F.size(tokens)
+    n = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(" "), F.lit(""))) + 1
     half = F.floor(n / 2).cast("int")
-    path = F.concat_ws(" ", n.cast("string"), F.slice(tokens, 1, LEAD))
-    end = number(F.concat_ws("|", F.lit("end"), path, F.concat_ws(" ", F.slice(tokens, 1, half))))
-    middle = number(F.concat_ws("|", F.lit("middle"), path, F.concat_ws(" ", F.slice(tokens, half + 1, n))))
+    first = lambda k: F.call_function("substring_index", line, F.lit(" "), k)
+    path = F.concat_ws(" ", n.cast("string"), first(F.lit(LEAD)))
+    end = number(F.concat_ws("|", F.lit("end"), path, first(half)))
+    middle = number(F.concat_ws("|", F.lit("middle"), path, first(half - n)))
     exact = number(line)
     return F.when(n < MIN_TOKENS, F.array().cast("array<bigint>")).when(half >= MIN_FIXED, F.array(exact, end, middle)).otherwise(F.array(exact))
 
@@ -62,7 +63,8 @@ def recurring_keys(rows: DataFrame, min_docs: int, different: float) -> DataFram
     """Keys of the templates that recur across different documents.
 
     Copies of one document share the rest of it: of all texts with the template at least ``different`` must have
-    a rest of their own, so that groups of copies stay whole for near-duplicate detection.
+    a rest of their own, so that groups of copies stay whole for near-duplicate detection. The rest is known by one
+    line, so documents made up mostly of recurring lines count as copies too.
     """
     seen = rows.select(F.explode("keys").alias("key"), "near", "t").distinct()
     rests = seen.groupBy("key", "near").agg(F.count(F.lit(1)).alias("texts"))

@@ -10,13 +10,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import byte_batches, once, row_key, written
+from weirflow.llm.common import byte_batches, once, written
 from weirflow.llm.tokenizer import Vocabulary, default_path, encoder
 
-#: Bounds of the broadcast head of the word table: words, and bytes of a word. At most 32 MB with its ids.
-HEAD_WORDS, HEAD_BYTES = 1 << 19, 48
+#: Bounds of the broadcast head of the word table: its words, their bytes, and the documents whose words are counted to
+#: choose it. Which words are in the head decides only where they are joined, not what comes out.
+HEAD_WORDS, HEAD_BYTES, HEAD_DOCS = 1 << 18, 8 << 20, 1 << 16
 #: Codes or tokens that a task handles at once.
-RUN = 1 << 20
+RUN = 1 << 18
 
 
 def to_varint(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -49,38 +50,43 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - before, lengths) + np.arange(int(lengths.sum()))
 
 
-def word_table(texts: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
-    """word, n, ids: every distinct pre-token of the texts, counted map-side first, and encoded once."""
-    shared = texts.sparkSession.sparkContext.broadcast(vocabulary.text)
+def encoded(words: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """word, more, ids: the token ids of each row's word; ``more`` is carried along."""
+    shared = words.sparkSession.sparkContext.broadcast(vocabulary.text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(shared.value)
         for batch in batches:
-            words = batch.column(0).to_pylist()
-            for lo, hi in byte_batches(words, RUN):
-                ids = pa.array(enc.encode(words[lo:hi]), pa.list_(pa.int32()))
+            texts = batch.column(0).to_pylist()
+            for lo, hi in byte_batches(texts, RUN):
+                ids = pa.array(enc.encode(texts[lo:hi]), pa.list_(pa.int32()))
                 part = batch.slice(lo, hi - lo)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids], names=["word", "n", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), ids], names=["word", "more", "ids"])
 
-    words = texts.select(F.explode(vocabulary.split(F.col(text_col))).alias("word"))
-    return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).mapInArrow(run, "word string, n bigint, ids array<int>")
+    return words.mapInArrow(run, f"word string, more {words.schema['more'].dataType.simpleString()}, ids array<int>")
 
 
-def head_of(words: DataFrame, limit: int) -> pa.Table:
-    """The most frequent words, at most ``limit`` and none over HEAD_BYTES; the rest is joined, not left out.
+def head_of(texts: DataFrame, vocabulary: Vocabulary, limit: int) -> pa.Table:
+    """The most frequent words with their ids, at most ``limit`` and HEAD_BYTES; all others are joined by a shuffle.
 
-    A histogram over eighth powers of two finds the count from which on all words fit.
+    They are counted over the HEAD_DOCS documents or so with the smallest hashes. A histogram over eighth powers of
+    two finds the count from which on all words fit.
     """
-    short = words.where(F.octet_length("word") <= HEAD_BYTES)
-    step = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
-    least, total = None, 0
-    for s, n in sorted(((r["s"], r["n"]) for r in short.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n")).collect()), reverse=True):
-        total += n
-        if total > limit:
+    n = texts.count()
+    share = min(1.0, HEAD_DOCS / n) if n else 1.0
+    few = texts.where(F.xxhash64(F.lit("head"), "row.h") <= int(-(2**63) + share * (2**64 - 1)) if share < 1 else F.lit(True))
+    counts = few.select(F.explode(vocabulary.split(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("more"))
+    words = written(encoded(counts, vocabulary), "words")
+    step = F.floor(F.log2(F.col("more").cast("double")) * 8).cast("int")
+    steps = words.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("word") + 4 * F.size("ids")).alias("b")).collect()
+    least, total, size = None, 0, 0
+    for r in sorted(steps, key=lambda r: -r["s"]):
+        total, size = total + r["n"], size + r["b"]
+        if total > limit or size > HEAD_BYTES:
             break
-        least = s
-    fit = short.where(step >= least) if least is not None else short.limit(0)
-    return fit.select("word", "n", "ids").toArrow().sort_by([("n", "descending"), ("word", "ascending")])
+        least = r["s"]
+    fit = words.where(step >= least) if least is not None else words.limit(0)
+    return fit.toArrow().sort_by([("more", "descending"), ("word", "ascending")])
 
 
 class Head:
@@ -99,16 +105,14 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     """``id_col``, ids array<int>: the tokens of every whole text, special strings read as the library does.
 
     Spark splits the texts into words; each distinct word is encoded once. The most frequent words, a bounded
-    table, are joined in the tasks that hold the texts; all others are joined by a shuffle and come back to their
-    position through the row's content key. A text travels once, as its word ranks.
+    table, are joined in the tasks that hold the texts; all others are gathered by word, encoded and sent back to
+    their position through the row's id and text hash. A text travels once, as its word ranks.
     Null texts count as empty and have no tokens; repeated rows are all returned, also with the same id; null ids
     are kept. An empty table gives an empty table; other columns are not read.
     """
     vocabulary = Vocabulary.load(tokenizer or default_path())
-    k1, k2 = row_key(id_col, text_col)
-    own = docs.select(F.struct(F.col(id_col).alias("id"), k1.alias("k1"), k2.alias("k2")).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    words = written(word_table(own, vocabulary), "words")
-    head = head_of(words, head_words)
+    own = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    head = head_of(own, vocabulary, head_words)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, head.schema) as w:
         w.write_table(head)
@@ -137,12 +141,16 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                 seq = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)])
                 missing = pa.ListArray.from_arrays(pa.array(first, pa.int32()), names.take(pa.array(pairs % max(1, len(names)))))
                 yield pa.RecordBatch.from_arrays([batch.column(0), seq, missing], names=["row", "seq", "missing"])
+            pa.default_memory_pool().release_unused()
 
     kind = own.schema["row"].dataType.simpleString()
     ranked = own.select("row", vocabulary.split(F.col("text")).alias("words")).mapInArrow(rank, f"row {kind}, seq binary, missing array<string>")
-    rest = ranked.select("row.k1", "row.k2", F.posexplode("missing").alias("pos", "word"))
-    rest = rest.join(words.select("word", "ids"), "word").groupBy("k1", "k2").agg(F.collect_list(F.struct("pos", "ids")).alias("rest"))
-    both = ranked.select(F.col("row.id").alias("id"), F.col("row.k1").alias("k1"), F.col("row.k2").alias("k2"), "seq").join(rest, ["k1", "k2"], "left")
+    # The rest of the distinct-word table: a row a word with the places that ask for it.
+    asked = ranked.select("row", F.posexplode("missing").alias("pos", "word")).groupBy("word").agg(F.collect_list(F.struct("row", "pos")).alias("more"))
+    rest = encoded(asked, vocabulary).select(F.explode("more").alias("m"), "ids").groupBy(F.col("m.row").alias("key")).agg(F.collect_list(F.struct(F.col("m.pos").alias("pos"), "ids")).alias("rest"))
+    rest = rest.select(F.col("key.id").alias("id2"), F.col("key.h").alias("h2"), "rest")
+    flat = ranked.select(F.col("row.id").alias("id"), F.col("row.h").alias("h"), "seq")
+    both = flat.join(rest, (F.col("h") == F.col("h2")) & F.col("id").eqNullSafe(F.col("id2")), "left")
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = once(("head", mark), lambda: Head(shared.value))
@@ -175,6 +183,7 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
                 total = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], words_to))]
                 out = pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(got, pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), out], names=["id", "ids"])
+            pa.default_memory_pool().release_unused()
 
     id_kind = docs.schema[id_col].dataType.simpleString()
     return both.select("id", "seq", "rest").mapInArrow(assemble, f"id {id_kind}, ids array<int>").select(F.col("id").alias(id_col), "ids")
@@ -212,6 +221,7 @@ def decode(tokens: DataFrame, ids_col: str = "ids", tokenizer: str | None = None
                 joined = table.take(batch.column(1).flatten())
                 text = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), joined), b"").to_pylist()
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([t.decode("utf-8", "replace") for t in text], pa.string())], names=["row", "ids", "text"])
+            pa.default_memory_pool().release_unused()
 
     keep = [c for c in tokens.columns if c not in (ids_col, text_col)]
     own = tokens.select(F.struct(F.lit(0).alias("none"), *[F.col(c).alias(f"c{k}") for k, c in enumerate(keep)]).alias("row"), F.col(ids_col).alias("ids"))

@@ -1,4 +1,4 @@
-"""What the operators share: the shared folder, written tables, row keys and worker-side caches."""
+"""What the operators share: the shared folder, written tables and worker-side caches."""
 
 from __future__ import annotations
 
@@ -6,8 +6,7 @@ import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,22 +28,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def row_key(id_col: str, text_col: str) -> tuple[Column, Column]:
-    """128 bits that name a row by its content, the same on every recomputation; never null.
-
-    Rows that repeat both id and text share the key, and every decision taken for it holds for each of them.
-    """
-    i, t = F.col(id_col).cast("string"), F.col(text_col)
-    return F.xxhash64(i, F.lit("|"), t), F.xxhash64(t, F.lit("~"), i)
-
-
 _cache: dict[Any, Any] = {}
 
 
 def once(key: Any, make: Callable[[], Any]) -> Any:
-    """A value that a Python worker builds once and keeps for its next tasks; at most eight are kept."""
+    """A value that a Python worker builds once and keeps for its next tasks; at most two are kept."""
     if key not in _cache:
-        if len(_cache) >= 8:
+        if len(_cache) >= 2:
             _cache.clear()
         _cache[key] = make()
     return _cache[key]

@@ -80,12 +80,13 @@ class Encoder:
     """Encodes texts as the tokenizers library does by default; much faster where the ids follow the merge order."""
 
     def __init__(self, text: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(text)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
         self.fast = self._ranked(json.loads(text))
+        if self.fast is None:
+            from tokenizers import Tokenizer
+
+            self.tokenizer = Tokenizer.from_str(text)
+            self.tokenizer.no_truncation()
+            self.tokenizer.no_padding()
 
     @staticmethod
     def _ranked(j: dict):

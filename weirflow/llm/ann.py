@@ -17,7 +17,8 @@ from weirflow.llm.common import once, written
 
 #: Bounds of the sample that the tree is fitted on and of the queries that calibrate it.
 SAMPLE, CALIBRATION = 20_000, 400
-BRANCH, LEAF = 12, 128
+#: Children of a node and levels of nodes that are split: at most BRANCH ** DEPTH leaves, whatever the table's size.
+BRANCH, DEPTH = 12, 2
 #: Members of a leaf, and queries, that one task compares at once.
 MEMBER_BLOCK, QUERY_BLOCK = 4096, 2048
 
@@ -70,15 +71,15 @@ def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -
     return c
 
 
-def fit_tree(x: np.ndarray, branch: int = BRANCH, leaf_size: int = LEAF, seed: int = 5) -> Tree:
-    """Split the sample by k-means until a node holds at most ``leaf_size`` vectors or can't be split."""
+def fit_tree(x: np.ndarray, branch: int = BRANCH, depth: int = DEPTH, seed: int = 5) -> Tree:
+    """Split the sample by k-means on ``depth`` levels; a node that can't be split is a leaf."""
     rng = np.random.default_rng(seed)
     centres, children, leaf, leaves = [x.mean(axis=0)], [()], [-1], 0
-    todo = [(0, np.arange(len(x)))]
+    todo = [(0, 0, np.arange(len(x)))]
     while todo:
-        node, rows = todo.pop()
+        node, level, rows = todo.pop()
         near = np.zeros(len(rows), np.int64)
-        if len(rows) > leaf_size:
+        if level < depth:
             c = k_means(x[rows], branch, rng)
             near = (x[rows] @ c.T * 2 - (c * c).sum(axis=1)).argmax(axis=1)
         if len(np.unique(near)) < 2:
@@ -90,7 +91,7 @@ def fit_tree(x: np.ndarray, branch: int = BRANCH, leaf_size: int = LEAF, seed: i
             centres.append(c[j])
             children.append(())
             leaf.append(-1)
-            todo.append((kids[-1], rows[near == j]))
+            todo.append((kids[-1], level + 1, rows[near == j]))
         children[node] = tuple(kids)
     return Tree(np.stack(centres), tuple(children), tuple(leaf), leaves)
 

@@ -169,7 +169,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + total // block_bytes
     names = list(dict.fromkeys([id_col, *keep]))
-    own = docs.select(F.struct(*[F.col(c).alias(f"c{j}") for j, c in enumerate(names)]).alias("row"), F.col(text_col).alias("text"))
+    own = docs.select(F.struct(*[F.col(c).alias(f"c{j}") for j, c in enumerate(names)], F.xxhash64(text_col).alias("h")).alias("row"), F.col(text_col).alias("text"))
     spans = "array<struct<item_id:bigint,edits:int,start:int,end:int>>"
     kind = own.schema["row"].dataType.simpleString()
     kind_of = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -192,7 +192,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     if blocks == 1:
         out = one_block(0)
     else:
-        # Each pass gives a row for each document; a row's passes meet by its content and its place among equal rows.
+        # Each pass gives a row for each document; a row's passes meet by its columns and text hash.
         every = one_block(0)
         for b in range(1, blocks):
             every = every.unionByName(one_block(b))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,10 +63,8 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from corpus_pipeline import run
-
     own = (op1_bpe, op2_token_counts, op3_chat_format, op4_line_dedup, op5_nearest, op6_near_dedup, op7_url_filter, op8_language_id, op9_html_text, op10_decontamination)
-    return {f.__name__: f for f in own} | {"pipeline": run}
+    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
 
 
 OP7_SQL = """
@@ -110,7 +109,5 @@ FROM own LEFT JOIN fit ON own.host = fit.host AND own.path = fit.path JOIN rep O
 
 
 def oracle_sql() -> dict[str, str]:
-    from corpus_pipeline import ORACLE_SQL
-
     own = {"op4_line_dedup": line_dedup.ORACLE, "op7_url_filter": OP7_SQL}
-    return own | ({"pipeline": ORACLE_SQL} if ORACLE_SQL else {})
+    return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

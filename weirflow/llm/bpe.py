@@ -15,7 +15,7 @@ from weirflow.llm.tokenizer import Vocabulary, default_path, encoder
 
 #: Bounds of the broadcast head of the word table: its words, their bytes, and the documents whose words are counted to
 #: choose it. Which words are in the head decides only where they are joined, not what comes out.
-HEAD_WORDS, HEAD_BYTES, HEAD_DOCS = 1 << 18, 8 << 20, 1 << 16
+HEAD_WORDS, HEAD_BYTES, HEAD_DOCS = 1 << 18, 8 << 20, 1 << 14
 #: Codes or tokens that a task handles at once.
 RUN = 1 << 18
 

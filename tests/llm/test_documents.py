@@ -121,6 +121,24 @@ def test_line_dedup_generalises_a_variable_end(spark):
     assert got == {0: 0, 1: 1, 2: 1}
 
 
+def test_line_dedup_tells_documents_apart_by_more_than_one_line(spark):
+    """Documents that share several lines, short ones too, are different all the same; edited copies are not."""
+    rnd = random.Random(7)
+    words = lambda n: " ".join("".join(rnd.choices("abdeinorst", k=6)) for _ in range(n))
+    shared = [words(8), words(9), words(2), words(3), words(10)]
+    rows = [(k, "\n".join([words(40), words(40), *shared])) for k in range(25)]
+    base = words(200).split(" ")
+    for k in range(6):
+        base[k * 30] = words(1)
+        rows.append((100 + k, " ".join(base[:150]) + "\n" + " ".join(base[150:]) + "\nthe line that all copies have " + words(1)))
+        rows.append((200 + k, "\n".join([" ".join(base[:k * 25]), "this one line is in all copies of it", " ".join(base[k * 25:])])))
+    got = {r.doc_id: r for r in line_dedup.line_dedup(rows_of(spark, rows)).collect()}
+    assert got[0].text == rows[0][1]
+    for k in range(1, 25):
+        assert got[k].text == "\n".join([*rows[k][1].split("\n")[:2], shared[2], shared[3]])
+    assert all(got[k].n_dropped == 0 for k in got if k >= 100)
+
+
 def test_op4_matches_its_oracle(spark):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")

@@ -101,6 +101,21 @@ def test_main_text(html, text):
     assert html_text.main_text(html) == text
 
 
+P1, P2 = "A long paragraph of the article that says what it has to say, at some length. " * 3, "Another paragraph that goes on about the same matter, with many more words. " * 3
+NAMED = [
+    (f"<body><nav><a href=/>Home</a></nav><div class='content has-sidebar'><article><h1>T</h1><p>{P1}</p></article></div></body>", ["T", P1]),
+    (f"<body><div id='page-with-menu'><div class=menu><a href=/a>A</a> <a href=/b>B</a></div><div class=post><h1>T</h1><p>{P1}</p><p>{P2}</p></div></div></body>", ["T", P1, P2]),
+    (f"<body><article><h1>T</h1><p>{P1}</p><h2 id='side-effects'>Side effects</h2><p>{P2}</p><section id='related-work'><h2>Related work</h2><p>Few have done it.</p></section><section id='search-results'><h2>Results</h2><p>{P1}</p></section></article></body>", ["T", P1, "Side effects", P2, "Related work", "Few have done it.", "Results", P1]),
+    (f"<body><article><h1>T</h1><p>{P1}</p><div class='related'><h3>More</h3><a href=/a>A headline of another page</a></div><div class='comments'><h3>Comments</h3><p>me too</p></div></article></body>", ["T", P1]),
+    (f"<body><main><p><a href=/a>Sign in</a></p><p><a href=/b>Help</a></p></main><div class=post><h1>T</h1><p>{P1}</p><p>{P2}</p></div></body>", ["T", P1, P2]),
+]
+
+
+@pytest.mark.parametrize("html,text", NAMED)
+def test_names_are_hints_only(html, text):
+    assert html_text.main_text(html) == "\n".join(t.strip() for t in text)
+
+
 def test_extraction_job(spark):
     df = spark.createDataFrame([(k, None, h) for k, (h, _) in enumerate(PAGES)] + [(0, "u", None)], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = html_text.extract_main_text(df).collect()

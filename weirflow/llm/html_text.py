@@ -17,12 +17,13 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 NOT_TEXT = frozenset("script style noscript template head title svg math canvas iframe object audio video form button select option textarea input nav aside footer dialog menu".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog alertdialog menu menubar toolbar form".split())
-#: Words in class or id that name what is no article.
+#: Words in class or id that hint at what is no article; the density of the element decides.
 NOT_ARTICLE = frozenset(
     "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice alert popup modal overlay paywall"
     " newsletter subscribe signup sidebar side rail menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar comment comments commentlist reply replies"
     " respond disqus related recommended share sharing social widget pagination pager skip login search".split()
 )
+COMMENT = frozenset("comment comments commentlist reply replies respond disqus".split())
 ROOTS = frozenset(("html", "body", "main"))
 WORD = re.compile(r"[a-z]+")
 CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -34,10 +35,11 @@ SCOPES = frozenset("html body table ul ol dl article section div main aside bloc
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "skip", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "parent", "children", "skip", "chars", "tags", "link_chars", "link_tags", "density", "total", "hint", "off", "headed")
 
     def __init__(self, tag: str, parent: Node | None, skip: bool):
         self.tag, self.parent, self.skip = tag, parent, skip
+        self.hint: frozenset[str] = frozenset()
         self.children: list[Node | str] = []
 
 
@@ -49,15 +51,18 @@ def not_article(tag: str, attrs: list[tuple[str, str | None]], parent: Node) ->
     a = dict(attrs)
     if "hidden" in a or a.get("aria-hidden") == "true" or HIDDEN.search(a.get("style") or "") or (a.get("role") or "").lower() in ROLES:
         return True
-    if tag in ROOTS:
-        return False
-    names = set(WORD.findall(CAMEL.sub(" ", f"{a.get('class') or ''} {a.get('id') or ''}").lower()))
-    if names & NOT_ARTICLE:
-        # An article element is boilerplate only as a comment.
-        return tag != "article" or bool(names & {"comment", "comments", "reply"})
     return False
 
 
+def name_hint(tag: str, attrs: list[tuple[str, str | None]]) -> frozenset[str]:
+    """Words in class or id that hint at boilerplate; headings and roots get none, an article element only as a comment."""
+    if tag in ROOTS or tag in HEADINGS:
+        return frozenset()
+    a = dict(attrs)
+    names = NOT_ARTICLE.intersection(WORD.findall(CAMEL.sub(" ", f"{a.get('class') or ''} {a.get('id') or ''}").lower()))
+    return names & {"comment", "comments", "reply"} if tag == "article" else names
+
+
 def inside_article(node: Node | None) -> bool:
     while node is not None:
         if node.tag in ("article", "main"):
@@ -67,7 +72,7 @@ def inside_article(node: Node | None) -> bool:
 
 
 class Tree(HTMLParser):
-    """Builds the nodes; subtrees that are no text by their element, role or name are dropped as they are read."""
+    """Builds the nodes; subtrees that are no text by their element or role are dropped as they are read."""
 
     def __init__(self, html: str):
         super().__init__(convert_charrefs=True)
@@ -98,6 +103,7 @@ class Tree(HTMLParser):
             return
         node = Node(tag, self.at, self.at.skip or not_article(tag, attrs, self.at))
         if not node.skip:
+            node.hint = name_hint(tag, attrs)
             self.at.children.append(node)
         self.at = node
 
@@ -132,7 +138,11 @@ def in_order(root: Node) -> list[Node]:
 
 
 def measure(root: Node) -> list[Node]:
-    """Composite text density of every node and the sum of its children's densities."""
+    """Composite text density of every node and the sum of its children's densities.
+
+    Elements with a name hint are off unless they hold most of the page's text and a heading, if it has any: they and
+    what they hold are no candidates for the article and add nothing to their parent's sum.
+    """
     nodes = in_order(root)
     for n in reversed(nodes):
         n.chars = sum(len(SPACE.sub(" ", c).strip()) for c in n.children if isinstance(c, str))
@@ -142,12 +152,15 @@ def measure(root: Node) -> list[Node]:
         link = n.tag == "a"
         n.link_chars = n.chars if link else sum(k.link_chars for k in kids)
         n.link_tags = sum(k.link_tags + (k.tag == "a") for k in kids)
+        n.headed = n.tag in HEADINGS or any(k.headed for k in kids)
+    for n in nodes:
+        n.off = (n.parent is not None and n.parent.off) or (bool(n.hint) and not (2 * n.chars > root.chars and (n.headed or not root.headed)))
     body_links, body_chars = root.link_chars, max(1, root.chars)
     for n in reversed(nodes):
         c, t, lc, lt = n.chars, max(1, n.tags), max(1, n.link_chars), max(1, n.link_tags)
         base = math.log(c / max(1, c - n.link_chars) * lc + body_links / body_chars * c + math.e)
         n.density = c / t * math.log(max(1.0, c / lc * t / lt)) / math.log(1.0 + base) if c else 0.0
-        n.total = sum(k.density for k in n.children if not isinstance(k, str)) or n.density
+        n.total = sum(k.density for k in n.children if not isinstance(k, str) and (n.off or not k.off)) or n.density
     return nodes
 
 
@@ -157,7 +170,7 @@ def main_node(root: Node) -> Node:
     body = next((n for n in nodes if n.tag == "body"), root)
     best = body
     for n in nodes:
-        if n.chars and n.tag not in INLINE and (n.total, n.chars) > (best.total, best.chars):
+        if n.chars and not n.off and n.tag not in INLINE and (n.total, n.chars) > (best.total, best.chars):
             best = n
     path = []
     node = best
@@ -165,17 +178,31 @@ def main_node(root: Node) -> Node:
         path.append(node)
         node = node.parent
     for k in range(len(path) - 1, -1, -1):
-        if path[k].tag in ("article", "main"):
+        if path[k].tag in ("article", "main") and 2 * path[k].link_chars <= path[k].chars:
             return path[k]
-    # Without an article element: the outermost ancestor on the path that is as dense as the body.
+    # Without an article element that is more than links: the outermost ancestor on the path that is as dense as the body.
     for n in reversed(path):
         if n.density >= body.density and n.tag not in ("html", "#root"):
             return n
     return best
 
 
-def blocks(node: Node) -> list[str]:
-    """Text of the blocks under a node in page order, white space inside a block made one space."""
+def boilerplate(n: Node, top: Node) -> bool:
+    """Whether an element with a name hint inside the article ``top`` is no text of it: by its links or its density.
+
+    A section with a heading of its own is text, unless it is named as comments.
+    """
+    if not n.hint:
+        return False
+    if 2 * n.chars > top.chars:
+        return n.off and not n.headed and top.headed  # most of the text, yet the page's headings are elsewhere
+    if 2 * n.link_chars > n.chars:
+        return True
+    return n.density < top.density and not (n.headed and not n.hint & COMMENT)
+
+
+def blocks(node: Node, whole: bool = False) -> list[str]:
+    """Text of the blocks under a node in page order, white space inside a block made one space; ``whole`` keeps boilerplate."""
     out: list[str] = []
     run: list[str] = []
 
@@ -194,6 +221,8 @@ def blocks(node: Node) -> list[str]:
                 run.append(x)
         elif x.tag in ("br", "hr"):
             run.append(" ")
+        elif not whole and x is not node and boilerplate(x, node):
+            run.append(" ")
         else:
             if x.tag == "header":
                 kept_only = True  # of an article's own header only the headings belong to the text
@@ -211,7 +240,8 @@ def main_text(html: str | None) -> str:
     """The article's blocks joined by newlines; empty for null, empty or text-free pages."""
     if not html:
         return ""
-    return "\n".join(blocks(main_node(Tree(html).root)))
+    node = main_node(Tree(html).root)
+    return "\n".join(blocks(node) or blocks(node, whole=True))
 
 
 def extract_main_text(pages: DataFrame, page_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -101,3 +101,23 @@ def test_streams_end_like_batches(spark, tmp_path):
     time.sleep(0)
     w.stop()
     assert {(r["k"], r["top"]) for r in spark.table("wm").collect()} <= {(k, t) for k in range(3) for t in range(30) if t % 3 == k}
+
+
+def test_lock_tick_carries_holders_across_ticks(spark):
+    from collections import defaultdict
+
+    from weirflow import queries as core
+
+    sf = "/root/testdata/sf0.001"
+    days, want, held = defaultdict(list), {}, set()
+    for e in spark.read.parquet(f"{sf}/events.parquet").collect():
+        days[e.ts.date()].append((e.event_id, e.user_id % 100, e.event_type in ("click", "view", "purchase")))
+    for day in sorted(days):
+        held -= {lock for _, lock, acquire in days[day] if not acquire}
+        before = set(held)
+        for event, lock, acquire in sorted(days[day]):
+            if acquire:
+                want[event] = lock not in before and lock not in held
+                held.add(lock)
+    got = {r.event_id: r.granted for r in core.queries()["lock_tick"](spark, sf).collect()}
+    assert got == want and not all(want.values())

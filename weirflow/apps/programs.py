@@ -34,9 +34,23 @@ def lock_holders(log: DataFrame, lock: str, client: str, acquire: str, order: st
     return log.groupBy(lock).agg(steps.alias("_s")).select(lock, F.aggregate("_s", free, step).alias("holder"))
 
 
-def _lock_log(spark, d):
+def lock_ticks(log: DataFrame) -> DataFrame:
+    """lock, tick, client, event_id, granted of every acquire in a log of lock, tick, client, event_id, acquire.
+
+    A tick applies its releases first; then a lock that is free goes to the first acquire, and is held in later ticks
+    until one with a release. So of the ticks from one release to the next only the first with an acquire grants.
+    As in the reference any release frees the lock: only holders release, and a client has one message under way.
+    """
+    ticks = log.groupBy("lock", "tick").agg(F.max((~F.col("acquire")).cast("int")).alias("_freed"), F.min(F.when(F.col("acquire"), F.col("event_id"))).alias("_first"))
+    ticks = ticks.withColumn("_held", F.sum("_freed").over(W.partitionBy("lock").orderBy("tick")))
+    wins = op.first_by(ticks.where(F.col("_first").isNotNull()), ["lock", "_held"], F.col("tick"), "_first").select("lock", F.col("_first").alias("event_id"), F.lit(True).alias("_won"))
+    asks = log.where("acquire").select("lock", "tick", "client", "event_id")
+    return asks.join(wins, ["lock", "event_id"], "left").select("lock", "tick", "client", "event_id", F.coalesce("_won", F.lit(False)).alias("granted"))
+
+
+def _lock_log(spark, d, *more):
     e = table(spark, d, "events")
-    return e.select((F.col("user_id") % 100).alias("lock"), (F.col("event_id") % 3).alias("client"), F.col("event_type").isin("click", "view", "purchase").alias("acquire"), "event_id")
+    return e.select((F.col("user_id") % 100).alias("lock"), (F.col("event_id") % 3).alias("client"), F.col("event_type").isin("click", "view", "purchase").alias("acquire"), "event_id", *more)
 
 
 @query("""
@@ -53,11 +67,8 @@ def lock_fold(spark, d):
 
 @query("SELECT lock, tick, client, event_id, event_id = winner AS granted FROM (SELECT *, min(event_id) OVER (PARTITION BY lock, tick) AS winner FROM (SELECT user_id % 100 AS lock, cast(ts AS DATE) AS tick, event_id % 3 AS client, event_id FROM events WHERE event_type IN ('click', 'view', 'purchase')))")
 def lock_tick(spark, d):
-    """Per tick one acquirer of a lock that is free at its start wins; locks are freed between ticks."""
-    e = table(spark, d, "events").where(F.col("event_type").isin("click", "view", "purchase"))
-    asks = e.select((F.col("user_id") % 100).alias("lock"), F.to_date("ts").alias("tick"), (F.col("event_id") % 3).alias("client"), "event_id")
-    won = op.first_by(asks, ["lock", "tick"], F.col("event_id"), "event_id").withColumnRenamed("event_id", "_won")
-    return asks.join(won, ["lock", "tick"]).select("lock", "tick", "client", "event_id", (F.col("event_id") == F.col("_won")).alias("granted"))
+    """Requests of a lock server that works in ticks of a day; the SQL still frees every lock between ticks."""
+    return lock_ticks(_lock_log(spark, d, F.to_date("ts").alias("tick")))
 
 
 def cas_register(log: DataFrame, register: str, order: str) -> DataFrame:

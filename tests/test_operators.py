@@ -45,6 +45,25 @@ def test_enumerate_and_scan_cross_partitions(spark):
     assert out.where((F.col("index") != F.col("k")) | (F.col("run") != 2 * (F.col("k") + 1))).count() == 0
 
 
+def test_enumerate_of_many_rows_with_other_columns(spark):
+    """The bounds of the ranges are drawn once, whatever columns are read afterwards."""
+    n = 3_000_000
+    df = spark.range(n).select(F.xxhash64("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("payload"))
+    out = op.enumerate_rows(df, ["k"], blocks=8)
+    assert str(out._jdf.queryExecution().executedPlan()).count("Exchange rangepartitioning") == 0
+    for own in (out.select("index", "payload"), out.select("index")):
+        assert own.agg(F.count_distinct("index"), F.min("index"), F.max("index")).first() == (n, 0, n - 1)
+    w = op.W.orderBy("index")
+    assert out.where("index < 1000").withColumn("last", F.lag("k").over(w)).where("last >= k").count() == 0
+
+
+def test_scan_until_ends_a_key(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 5), (None, 9), ("a", 4)], "k string, v int")
+    step = lambda s, r: None if r["v"] == 3 else (s + r["v"], str(s + r["v"]))
+    assert got(op.scan_until(df, ["k"], ["v"], 0, step, "s", "string")) == sorted([("a", 1, "1"), ("a", 2, "3"), ("b", 5, "5"), (None, 9, "9")], key=repr)
+    assert got(op.scan_until(df.limit(0), ["k"], ["v"], 0, step, "s", "string")) == []
+
+
 def test_cycle_reaches_a_fixpoint_with_loops(spark):
     edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 4)], "a int, b int")
     start = spark.createDataFrame([(1,)], "n int")

@@ -9,13 +9,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce as fold_left
+from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from weirflow.sources import flag
+from weirflow.sources import flag, saved_by
 
 # Projection
 
@@ -111,7 +115,10 @@ def cross_product(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def cross_singleton(a: DataFrame, one_row: DataFrame) -> DataFrame:
-    return a.join(F.broadcast(one_row), how="cross")
+    """Each row with the single row; a second one is an error, so that no table is broadcast by mistake."""
+    checked = one_row.limit(2).agg(F.count(F.lit(1)).alias("_n"), *[F.any_value(c).alias(c) for c in one_row.columns])
+    checked = checked.where(F.col("_n") > 0).where(F.when(F.col("_n") == 1, True).otherwise(F.raise_error(F.lit("the singleton has several rows")).cast("boolean"))).drop("_n")
+    return a.join(F.broadcast(checked), how="cross")
 
 
 def _equal(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, Column]:
@@ -177,22 +184,24 @@ def scan_keyed(flow: DataFrame, keys: Sequence[str], order_by: Sequence[Column],
     return flow.withColumns({k: e.over(w) for k, e in aggs.items()})
 
 
-def _numbered(flow: DataFrame, order_by: Sequence[str], blocks: int | None) -> DataFrame:
-    """Rows range-partitioned by the order, with the number of their partition."""
+def _ranges(flow: DataFrame, order_by: Sequence[str], blocks: int | None) -> DataFrame:
+    """Rows in ranges of the order, with the number of their range, written once: the bounds are drawn from a sample,
+    so a plan that evaluates them twice would cut twice. The table is dealt by range: windows over one need no shuffle."""
     n = blocks or int(flow.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return flow.repartitionByRange(n, *order_by).withColumn("_part", F.spark_partition_id())
+    return saved_by(flow.repartitionByRange(n, *order_by).withColumn("_part", F.spark_partition_id()), "_part", n)
 
 
 def scan(flow: DataFrame, order_by: Sequence[str], value: str, name: str, blocks: int | None = None) -> DataFrame:
     """A running sum over all rows in order, without bringing them to one task.
 
-    Rows are cut into ranges of the order; each range is summed, the sums of the ranges before are added.
+    Rows are cut into ranges of the order; each range is summed, the sums of the ranges before, one row a range, are
+    added. The order should be total: rows that tie in it may be numbered in any order.
     """
-    own = _numbered(flow, order_by, blocks)
+    own = _ranges(flow, order_by, blocks)
     sums = own.groupBy("_part").agg(F.sum(value).alias("_sum"))
     before = sums.select("_part", F.coalesce(F.sum("_sum").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     run = F.sum(value).over(W.partitionBy("_part").orderBy(*order_by).rowsBetween(W.unboundedPreceding, 0))
-    return own.join(F.broadcast(before), "_part").withColumn(name, (run + F.col("_before")).cast(flow.schema[value].dataType)).drop("_part", "_before")
+    return own.withColumn("_run", run).join(F.broadcast(before), "_part").withColumn(name, (F.col("_run") + F.col("_before")).cast(flow.schema[value].dataType)).drop("_part", "_before", "_run")
 
 
 def enumerate_rows(flow: DataFrame, order_by: Sequence[str], name: str = "index", blocks: int | None = None) -> DataFrame:
@@ -200,6 +209,37 @@ def enumerate_rows(flow: DataFrame, order_by: Sequence[str], name: str = "index"
     return scan(flow.withColumn("_one", F.lit(1).cast("long")), order_by, "_one", name, blocks).withColumn(name, F.col(name) - 1).drop("_one")
 
 
+def scan_until(flow: DataFrame, keys: Sequence[str], order_by: Sequence[str], init: Any, step: Callable[[Any, dict[str, Any]], tuple[Any, Any] | None], out: str, kind: str) -> DataFrame:
+    """A general scan: ``step`` takes the key's state and a row and returns the new state and the row's ``out``; with
+    None the key ends, and its later rows give nothing. ``init`` is the state before a key's first row.
+
+    Rows stream in order through the task of their key with one state in memory, so a long key takes time but no room.
+    Aggregates that compose belong to ``scan`` or ``scan_keyed``.
+    """
+    fields = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in flow.schema], f"`{out}` {kind}"])
+    names, arrow_kind = flow.columns, to_arrow_schema(StructType.fromDDL(f"x {kind}")).field(0).type
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key: Any = run  # no key equals it
+        state, ended = init, False
+        for b in batches:
+            kept, values = [], []
+            for k, row in enumerate(b.to_pylist()):
+                own = [row[c] for c in keys]
+                if own != key:
+                    key, state, ended = own, init, False
+                if not ended:
+                    got = step(state, row)
+                    ended = got is None
+                    if got is not None:
+                        state, value = got
+                        kept.append(k)
+                        values.append(value)
+            yield pa.RecordBatch.from_arrays([*b.take(pa.array(kept, pa.int64())).columns, pa.array(values, arrow_kind)], names=[*names, out])
+
+    return flow.repartition(*keys).sortWithinPartitions(*keys, *order_by).mapInArrow(run, fields)
+
+
 def top_k(flow: DataFrame, k: int, *order_by: Column) -> DataFrame:
     return flow.orderBy(*order_by).limit(k)
 

@@ -263,6 +263,17 @@ def scan_running(spark, d):
     return op.scan(table(spark, d, "events").select("event_id", "user_id"), ["event_id"], "user_id", "running").select("event_id", "running")
 
 
+@query("SELECT event_id, user_id, total FROM (SELECT event_id, user_id, event_id % 50 AS step, cast(100 + sum(event_id % 50) OVER (PARTITION BY user_id ORDER BY event_id) AS BIGINT) AS total FROM events) WHERE total - step < 400")
+def scan_terminating(spark, d):
+    """A total from 100 on that ends for a user once it has reached 400."""
+    e = table(spark, d, "events").select("event_id", "user_id")
+
+    def step(total, row):
+        return None if total >= 400 else (total + row["event_id"] % 50,) * 2
+
+    return op.scan_until(e, ["user_id"], ["event_id"], 100, step, "total", "bigint")
+
+
 @query("SELECT event_id, user_id, cast(sum(cast(value AS DECIMAL(18, 2))) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS DOUBLE) AS running FROM events")
 def scan_keyed(spark, d):
     out = op.scan_keyed(table(spark, d, "events"), ["user_id"], [F.col("ts"), F.col("event_id")], running=F.sum(money(F.col("value"))))

@@ -62,13 +62,30 @@ def write_table(flow: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     flow.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; where it is unset, as in tests, one under the
+    warehouse, which on a cluster must not be a local folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    base = named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_weirflow_shared"
+    if not named and base.startswith(("file:", "/")) and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return base.rstrip("/")
+
+
 def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage by writing to the shared folder: spark.checkpoint.dir, or one under the warehouse if unset."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_weirflow_shared"
-    path = f"{base.rstrip('/')}/saved-{uuid.uuid4().hex}"
+    """Cut the lineage by writing to the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/saved-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def saved_by(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """Like ``saved``, dealt by ``key`` into buckets: windows, groups and joins on it need no shuffle of these rows."""
+    spark, name = df.sparkSession, f"saved_{uuid.uuid4().hex}"
+    df.write.option("path", f"{shared_dir(spark)}/{name}").bucketBy(buckets, key).sortBy(key).saveAsTable(name)
+    own = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the plan has its files, which stay; the catalog needn't know them
+    return own
 
 
 def flag(predicate: Column) -> Column:

@@ -65,9 +65,16 @@ def lock_fold(spark, d):
     return lock_holders(_lock_log(spark, d), "lock", "client", "acquire", "event_id")
 
 
-@query("SELECT lock, tick, client, event_id, event_id = winner AS granted FROM (SELECT *, min(event_id) OVER (PARTITION BY lock, tick) AS winner FROM (SELECT user_id % 100 AS lock, cast(ts AS DATE) AS tick, event_id % 3 AS client, event_id FROM events WHERE event_type IN ('click', 'view', 'purchase')))")
+@query("""
+WITH RECURSIVE log AS (SELECT user_id % 100 AS lock, cast(ts AS DATE) AS tick, event_id % 3 AS client, event_id, event_type IN ('click', 'view', 'purchase') AS acquire FROM events),
+ticks AS (SELECT lock, row_number() OVER (PARTITION BY lock ORDER BY tick) AS n, bool_or(NOT acquire) AS freed, min(event_id) FILTER (WHERE acquire) AS asks FROM log GROUP BY lock, tick),
+run(lock, n, held, winner) AS (
+  SELECT DISTINCT lock, 0::BIGINT, false, NULL::BIGINT FROM log
+  UNION ALL
+  SELECT t.lock, t.n, (held AND NOT freed) OR asks IS NOT NULL, CASE WHEN NOT held OR freed THEN asks END FROM run JOIN ticks t ON t.lock = run.lock AND t.n = run.n + 1)
+SELECT lock, tick, client, event_id, event_id IN (SELECT winner FROM run WHERE winner IS NOT NULL) AS granted FROM log WHERE acquire""")
 def lock_tick(spark, d):
-    """Requests of a lock server that works in ticks of a day; the SQL still frees every lock between ticks."""
+    """Requests of a lock server that works in ticks of a day and carries holders from tick to tick."""
     return lock_ticks(_lock_log(spark, d, F.to_date("ts").alias("tick")))
 
 

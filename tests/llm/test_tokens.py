@@ -14,7 +14,7 @@ from weirflow.llm.tokenizer import Vocabulary, default_path
 SF = "/root/testdata/sf0.001"
 ODD = [
     (1, None), (2, ""), (3, "a<|endoftext|>b  \n\n <|endoftext|>\t x.<|endoftext|>"), (3, "a<|endoftext|>b  \n\n <|endoftext|>\t x.<|endoftext|>"),
-    (None, "it's we'll     x\u0085y éà 日本語 テスト 🙂🙂 123١٢ ___ =====\r\n\r\n"), (5, "=" * 5000 + "x" * 3000 + " " * 2000), (6, "hello hello world"), (1, "other"), (7, "word " * 40_000),
+    (None, "it's we'll     x\u0085y éà 日本語 テスト 🙂🙂 123١٢ ___ =====\r\n\r\n"), (5, "=" * 5000 + "x" * 3000 + " " * 2000), (6, "hello hello world"), (1, "other"), (7, "word " * 40_000), (8, "new letters \U00011f04\U00011f05x, \U0001fae8 and \u0cf3 1"),
 ]
 
 
@@ -24,7 +24,10 @@ def library():
 
 
 @pytest.mark.parametrize("head", [bpe.HEAD_WORDS, 8, 0])
-def test_encode_and_decode_odd_texts(spark, library, head):
+def test_encode_and_decode_odd_texts(spark, library, head, monkeypatch):
+    if head == 8:  # many runs, groups of them and answers by share
+        for name, n in (("RUN", 4), ("TOGETHER", 2), ("ASKING", 3)):
+            monkeypatch.setattr(bpe, name, n)
     df = spark.createDataFrame(ODD, "doc_id long, text string").select("*", F.lit(1).alias("ids"), F.lit(2).alias("h"))
     got = Counter((r.doc_id, tuple(r.ids), r.decoded) for r in bpe.decode(bpe.encode(df, head_words=head)).collect())
     want = Counter()

@@ -3,21 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import byte_batches, once, written
+from weirflow.llm.common import bucketed, byte_batches, once, written
 from weirflow.llm.tokenizer import Vocabulary, default_path, encoder
 
 #: Bounds of the broadcast head of the word table: its words, their bytes, and the documents whose words are counted to
 #: choose it. Which words are in the head decides only where they are joined, not what comes out.
-HEAD_WORDS, HEAD_BYTES, HEAD_DOCS = 1 << 18, 8 << 20, 1 << 14
-#: Codes or tokens that a task handles at once.
-RUN = 1 << 18
+HEAD_WORDS, HEAD_BYTES, HEAD_DOCS = 1 << 19, 16 << 20, 1 << 14
+#: Words or tokens that a task handles at once, runs that are assembled together, and groups of runs that one task
+#: answers for a word.
+RUN, TOGETHER, ASKING = 1 << 19, 4, 1 << 16
 
 
 def to_varint(codes: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,18 +77,20 @@ def head_of(texts: DataFrame, vocabulary: Vocabulary, limit: int) -> pa.Table:
     """
     n = texts.count()
     share = min(1.0, HEAD_DOCS / n) if n else 1.0
-    few = texts.where(F.xxhash64(F.lit("head"), "row.h") <= int(-(2**63) + share * (2**64 - 1)) if share < 1 else F.lit(True))
+    few = texts.where(F.xxhash64(F.lit("head"), "text") <= int(-(2**63) + share * (2**64 - 1)) if share < 1 else F.lit(True))
     counts = few.select(F.explode(vocabulary.split(F.col("text"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("more"))
     words = written(encoded(counts, vocabulary), "words")
     step = F.floor(F.log2(F.col("more").cast("double")) * 8).cast("int")
     steps = words.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("word") + 4 * F.size("ids")).alias("b")).collect()
     least, total, size = None, 0, 0
+    share = 0.0
     for r in sorted(steps, key=lambda r: -r["s"]):
-        total, size = total + r["n"], size + r["b"]
-        if total > limit or size > HEAD_BYTES:
+        least, share = r["s"], min(1.0, (limit - total) / r["n"], (HEAD_BYTES - size) / r["b"])
+        if share < 1:
             break
-        least = r["s"]
-    fit = words.where(step >= least) if least is not None else words.limit(0)
+        total, size = total + r["n"], size + r["b"]
+    # Of the last step's words, about as many as fit, by their hash.
+    fit = words.where((step > least) | ((step == least) & (F.xxhash64("word") < int((share - 0.5) * 2**64 * 0.999)))) if share > 0 or total else words.limit(0)
     return fit.toArrow().sort_by([("more", "descending"), ("word", "ascending")])
 
 
@@ -105,88 +110,95 @@ def encode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", toke
     """``id_col``, ids array<int>: the tokens of every whole text, special strings read as the library does.
 
     Spark splits the texts into words; each distinct word is encoded once. The most frequent words, a bounded
-    table, are joined in the tasks that hold the texts; all others are gathered by word, encoded and sent back to
-    their position through the row's id and text hash. A text travels once, as its word ranks.
+    table, are joined in the tasks that hold the texts. Neighbouring texts form a run of about RUN words, written
+    once as word ranks with the list of its other distinct words; these are gathered by word, encoded and sent back to
+    their run and place in its list. A word that very many runs ask for is gathered by RUN_GROUP runs at a time.
     Null texts count as empty and have no tokens; repeated rows are all returned, also with the same id; null ids
-    are kept. An empty table gives an empty table; other columns are not read.
+    are kept. A text is never cut, so a run longer than RUN holds one text and a task takes memory for the longest.
+    An empty table gives an empty table; other columns are not read.
     """
     vocabulary = Vocabulary.load(tokenizer or default_path())
-    own = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    own = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     head = head_of(own, vocabulary, head_words)
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, head.schema) as w:
         w.write_table(head)
-    shared = docs.sparkSession.sparkContext.broadcast(sink.getvalue().to_pybytes())
+    context = docs.sparkSession.sparkContext
+    shared, text = context.broadcast(sink.getvalue().to_pybytes()), context.broadcast(vocabulary.text)
     mark = hash(shared.value)
+    kind = own.schema["id"].dataType.simpleString()
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Texts as ranks of head words; the words of the rest are numbered on within a text."""
-        h = once(("head", mark), lambda: Head(shared.value))
+        """Runs of texts as ranks of head words; the other distinct words of a run are numbered on behind the head."""
+        import zstandard as zstd
+
+        h, pack, first, n = once(("head", mark), lambda: Head(shared.value)), zstd.ZstdCompressor(level=3), TaskContext.get().partitionId() << 33, 0
         for whole in batches:
-            sizes = pc.list_value_length(whole.column(1)).to_numpy(zero_copy_only=False)
+            sizes = pc.list_value_length(whole.column(1)).to_numpy(zero_copy_only=False).astype(np.int64)
             for lo, hi in runs(sizes, RUN):
                 batch = whole.slice(lo, hi - lo)
-                n, values = sizes[lo:hi].astype(np.int64), batch.column(1).flatten()
-                found = pc.index_in(values, value_set=h.words)
-                codes = pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                values = batch.column(1).flatten()
+                codes = pc.fill_null(pc.index_in(values, value_set=h.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
                 at = np.flatnonzero(codes < 0)
-                doc = np.repeat(np.arange(len(n)), n)[at]
                 rest = values.take(pa.array(at)).dictionary_encode()
-                names, index = rest.dictionary, rest.indices.to_numpy().astype(np.int64)
-                pairs, which = np.unique(doc * max(1, len(names)) + index, return_inverse=True)
-                owner = pairs // max(1, len(names))
-                first = np.searchsorted(owner, np.arange(len(n) + 1))
-                codes[at] = h.size + (np.arange(len(pairs)) - first[owner])[which]
-                data, bounds = to_varint(codes, np.concatenate(([0], np.cumsum(n))))
-                seq = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data)])
-                missing = pa.ListArray.from_arrays(pa.array(first, pa.int32()), names.take(pa.array(pairs % max(1, len(names)))))
-                yield pa.RecordBatch.from_arrays([batch.column(0), seq, missing], names=["row", "seq", "missing"])
+                codes[at] = h.size + rest.indices.to_numpy(zero_copy_only=False)
+                data, _ = to_varint(codes, np.zeros(1, np.int64))
+                one = lambda x, of: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x.cast(of))
+                columns = [pa.array([first + n // TOGETHER]), pa.array([n % TOGETHER], pa.int32()), one(batch.column(0), batch.column(0).type), one(pa.array(sizes[lo:hi]), pa.int32()), pa.array([pack.compress(data.tobytes())], pa.binary()), one(rest.dictionary, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["part", "run", "rows", "sizes", "seq", "missing"])
+                n += 1
             pa.default_memory_pool().release_unused()
 
-    kind = own.schema["row"].dataType.simpleString()
-    ranked = own.select("row", vocabulary.split(F.col("text")).alias("words")).mapInArrow(rank, f"row {kind}, seq binary, missing array<string>")
-    # The rest of the distinct-word table: a row a word with the places that ask for it.
-    asked = ranked.select("row", F.posexplode("missing").alias("pos", "word")).groupBy("word").agg(F.collect_list(F.struct("row", "pos")).alias("more"))
-    rest = encoded(asked, vocabulary).select(F.explode("more").alias("m"), "ids").groupBy(F.col("m.row").alias("key")).agg(F.collect_list(F.struct(F.col("m.pos").alias("pos"), "ids")).alias("rest"))
-    rest = rest.select(F.col("key.id").alias("id2"), F.col("key.h").alias("h2"), "rest")
-    flat = ranked.select(F.col("row.id").alias("id"), F.col("row.h").alias("h"), "seq")
-    both = flat.join(rest, (F.col("h") == F.col("h2")) & F.col("id").eqNullSafe(F.col("id2")), "left")
-
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h = once(("head", mark), lambda: Head(shared.value))
-        for whole in batches:
-            size = pc.binary_length(whole.column(1)).to_numpy(zero_copy_only=False)
-            for lo, hi in runs(size, RUN):
-                batch = whole.slice(lo, hi - lo)
-                n_bytes = size[lo:hi].astype(np.int64)
-                data = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8)
-                codes, stop = from_varint(data)
-                words_to = np.searchsorted(stop, np.cumsum(n_bytes), side="right")  # words up to the end of each text
-                rest_n = pc.fill_null(pc.list_value_length(batch.column(2)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-                flat = batch.column(2).flatten()
-                pos = flat.field("pos").to_numpy(zero_copy_only=False).astype(np.int64)
-                lists = flat.field("ids")
-                rest_ids = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-                rest_len = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-                # A repeated row brings each of its words more often; any of them serves.
-                base = np.concatenate(([0], np.cumsum(rest_n)))
-                slot = np.zeros(int(base[-1]), np.int64)
-                slot[base[np.repeat(np.arange(len(rest_n)), rest_n)] + pos] = np.arange(len(pos))
-                ids = np.concatenate((h.ids, rest_ids))
-                starts = np.concatenate((h.offsets[:-1], len(h.ids) + np.cumsum(rest_len) - rest_len))
-                lengths = np.concatenate((np.diff(h.offsets), rest_len))
-                entry, far = codes.copy(), np.flatnonzero(codes >= h.size)
-                doc = np.searchsorted(words_to, far, side="right")
-                entry[far] = h.size + slot[base[doc] + codes[far] - h.size]
-                n = lengths[entry]
-                got = ids[spread(starts[entry], n)]
-                total = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], words_to))]
-                out = pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(got, pa.int32()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), out], names=["id", "ids"])
-            pa.default_memory_pool().release_unused()
+    ranked = own.select("id", vocabulary.split(F.col("text")).alias("words")).mapInArrow(rank, f"part bigint, run int, rows array<{kind}>, sizes array<int>, seq binary, missing array<string>")
+    ranked = bucketed(ranked, "part")
 
-    id_kind = docs.schema[id_col].dataType.simpleString()
-    return both.select("id", "seq", "rest").mapInArrow(assemble, f"id {id_kind}, ids array<int>").select(F.col("id").alias(id_col), "ids")
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sorted by word: each distinct word is encoded once, for all that ask for it."""
+        enc, last = encoder(text.value), (None, b"")
+        for batch in batches:
+            words = batch.column(0).dictionary_encode()
+            names = words.dictionary.to_pylist()
+            codes: list[bytes] = [last[1]] if names and names[0] == last[0] else []
+            for lo, hi in byte_batches(names[len(codes) :], RUN):
+                ids = enc.encode(names[len(codes) : len(codes) + hi - lo])
+                ends = np.cumsum([len(x) for x in ids])
+                data, bounds = to_varint(np.fromiter(chain.from_iterable(ids), np.int64, int(ends[-1])), np.concatenate(([0], ends)))
+                codes += [data[a:b].tobytes() for a, b in pairwise(bounds.tolist())]
+            last = (names[-1], codes[-1]) if names else last
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(codes, pa.binary()).take(words.indices)], names=["part", "run", "pos", "ids"])
+
+    # The rest of the distinct-word table: a row a word and run that asks for it.
+    asked = ranked.select(F.posexplode("missing").alias("pos", "word"), "part", "run").select("word", "part", "run", "pos")
+    share = 1 + ranked.count() // ASKING
+    asked = asked.repartition(*(["word"] if share == 1 else ["word", F.pmod(F.xxhash64("part"), F.lit(share))])).sortWithinPartitions("word")
+    answers = asked.mapInArrow(answer, "part bigint, run int, pos int, ids binary")
+
+    def assemble(left: pa.Table, right: pa.Table) -> pa.Table:
+        """The ids of the texts of some runs, from their ranks, the head and the answers."""
+        import zstandard as zstd
+
+        h = once(("head", mark), lambda: Head(shared.value))
+        right = right.sort_by([("run", "ascending"), ("pos", "ascending")]).combine_chunks()
+        bounds = np.searchsorted(right.column("run").to_numpy(), np.arange(TOGETHER + 1))
+        out = []
+        for k, run in enumerate(left.column("run").to_pylist()):
+            codes, _ = from_varint(np.frombuffer(zstd.decompress(left.column("seq")[k].as_py()), np.uint8))
+            got = right.column("ids").slice(bounds[run], bounds[run + 1] - bounds[run])
+            rest_ids, stop = from_varint(np.frombuffer(b"".join(got.to_pylist()), np.uint8))
+            ends = np.searchsorted(stop, np.cumsum(pc.binary_length(got).to_numpy().astype(np.int64)), side="right")
+            rest_len = np.diff(np.concatenate(([0], ends)))
+            ids = np.concatenate((h.ids, rest_ids.astype(np.int32)))
+            starts = np.concatenate((h.offsets[:-1], len(h.ids) + ends - rest_len))[codes]
+            n = np.concatenate((np.diff(h.offsets), rest_len))[codes]
+            words_to = np.concatenate(([0], np.cumsum(left.column("sizes")[k].values.to_numpy())))
+            total = np.concatenate(([0], np.cumsum(n)))[words_to]
+            texts = pa.ListArray.from_arrays(pa.array(total, pa.int32()), pa.array(ids[spread(starts, n)]))
+            out.append(pa.Table.from_arrays([left.column("rows")[k].values, texts], names=["id", "ids"]))
+        return pa.concat_tables(out)
+
+    left = ranked.select("part", "run", "rows", "sizes", "seq")
+    both = left.groupBy("part").cogroup(answers.groupBy("part")).applyInArrow(lambda a, b: assemble(a, b), f"id {kind}, ids array<int>")
+    return both.select(F.col("id").alias(id_col), "ids")
 
 
 def runs(sizes: np.ndarray, limit: int) -> Iterator[tuple[int, int]]:

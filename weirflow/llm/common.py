@@ -8,12 +8,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one under the warehouse if unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    base = named or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_weirflow_shared"
-    return base.rstrip("/")
+from weirflow.sources import saved_by, shared_dir
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -24,6 +19,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Like ``written``, dealt by ``key`` into as many buckets as a shuffle has partitions: joins on it move the other side only."""
+    return saved_by(df, key, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -32,10 +32,9 @@ _cache: dict[Any, Any] = {}
 
 
 def once(key: Any, make: Callable[[], Any]) -> Any:
-    """A value that a Python worker builds once and keeps for its next tasks; at most two are kept."""
+    """A value that a Python worker builds once and keeps for its next tasks, until another one is asked for."""
     if key not in _cache:
-        if len(_cache) >= 2:
-            _cache.clear()
+        _cache.clear()
         _cache[key] = make()
     return _cache[key]
 

@@ -62,10 +62,14 @@ class Vocabulary:
         return out
 
     def split(self, text: Column) -> Column:
-        """array<string> of the pre-tokens of a text, in order, split by Spark; their concatenation is the text."""
+        """array<string> of the pre-tokens of a text, in order, split by Spark; their concatenation is the text.
+
+        A text with characters that Java's Unicode version doesn't know stays whole: the encoder splits it.
+        """
         plain = F.regexp_extract_all(text, F.lit(WORDS), F.lit(0))
+        unknown = text.rlike(r"\p{Cn}")
         if not self.special:
-            return plain
+            return F.when(unknown, F.array(text)).otherwise(plain)
         names = [w for w, _ in self.special]
         any_name = "(?:" + "|".join(f"\\Q{w}\\E" for w in names) + ")"
         cut = F.split(text, f"(?={any_name})|(?<={any_name})")
@@ -73,7 +77,7 @@ class Vocabulary:
         has = F.lit(False)
         for w in names:
             has = has | F.contains(text, F.lit(w))
-        return F.when(has, parts).otherwise(plain)
+        return F.when(unknown, F.array(text)).when(has, parts).otherwise(plain)
 
 
 class Encoder:

@@ -25,8 +25,14 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def letters(text: str) -> str:
-    """Lower-cased words between single spaces, digits and marks left out; empty if the text has no letter."""
-    return NOT_LETTERS.sub(" ", text.lower()).strip()
+    """Lower-cased words between single spaces, digits and marks left out; empty if the text has no letter.
+
+    Numbers that ``\\w`` takes for letters (fractions, superscripts, Roman numerals) go as well: str.isalpha decides.
+    """
+    words = NOT_LETTERS.sub(" ", text.lower()).strip()
+    if not words.isascii() and not words.replace(" ", "").isalpha():
+        words = " ".join("".join(c if c.isalpha() else " " for c in words).split())
+    return words
 
 
 @dataclass(frozen=True)
@@ -39,10 +45,9 @@ class Profiles:
     content: tuple[tuple[str, bytes, tuple[bytes, ...]], ...]
     level: int
     block_chars: int
-    short_chars: int
 
 
-def train_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 400, dict_bytes: int = 1 << 17, piece_chars: int = 2000, carriers: int = 4, carrier_bytes: int = 600, max_languages: int = 400, level: int = 6, block_chars: int = 1 << 14, short_chars: int = 1 << 10) -> Profiles:
+def train_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample_docs: int = 400, dict_bytes: int = 1 << 17, piece_chars: int = 2000, carriers: int = 4, carrier_bytes: int = 600, max_languages: int = 400, level: int = 6, block_chars: int = 1 << 14) -> Profiles:
     """Fit the dictionaries on a bounded sample of labelled rows outside the held-out fold.
 
     Bound: the ``sample_docs`` labelled documents of each language with the smallest hash of id and text, of each
@@ -78,7 +83,7 @@ def train_profiles(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         one = min(carrier_bytes, len(every) // (2 * carriers))
         own = tuple(every[k * one : (k + 1) * one] for k in range(carriers))
         content.append((lang, every[carriers * one :][-dict_bytes:], own))
-    return Profiles(tuple(content), level, block_chars, short_chars)
+    return Profiles(tuple(content), level, block_chars)
 
 
 class Classifier:
@@ -87,7 +92,7 @@ class Classifier:
     def __init__(self, profiles: Profiles):
         import zstandard as zstd
 
-        self.block, self.short = profiles.block_chars, profiles.short_chars
+        self.block = profiles.block_chars
         self.langs = [lang for lang, _, _ in profiles.content]
         self.compressors = []
         for _, content, carriers in profiles.content:
@@ -100,10 +105,10 @@ class Classifier:
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score): the score is the share of bytes by which the best dictionary beats the second.
 
-        Every block of the text counts. A text of up to ``short_chars`` letters is also compressed behind each of
-        the language's carriers, whose own size is taken off again: so even a few words are coded with the
-        language's letter statistics, where alone they would be stored raw at the same size for all. Equal sizes
-        go to the language with more labelled documents, with score 0.
+        Every block of the text counts, and the first one is also compressed behind each of the language's carriers,
+        whose own size is taken off again: so even a few words are coded with the language's letter statistics, where
+        alone they would be stored raw at the same size for all. Equal sizes go to the language with more labelled
+        documents, with score 0.
         """
         words = letters(text) if text else ""
         if not words or not self.langs:
@@ -113,7 +118,7 @@ class Classifier:
             block = f" {words[at : at + self.block]} ".encode()
             for k, (c, carriers) in enumerate(self.compressors):
                 size[k] += len(c.compress(block))
-                if len(words) <= self.short:
+                if at == 0:
                     size[k] += sum(max(1, len(c.compress(x + block)) - own) for x, own in carriers)
         best, *rest = sorted(range(len(size)), key=lambda k: (size[k], k))
         return self.langs[best], (1 - size[best] / size[rest[0]]) if rest else 1.0

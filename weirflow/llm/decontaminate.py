@@ -57,6 +57,12 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], q: int, edits: float):
         self.q, self.items = q, [(i, chars(t), t) for i, t in items if len(t) >= q]
+        # An item without a whole q-gram allows no edit: it is found as whole words, exactly.
+        self.short: dict[str, list[int]] = {}
+        for i, t in items:
+            if 0 < len(t) < q:
+                self.short.setdefault(t, []).append(i)
+        self.words = sorted({t.count(" ") + 1 for t in self.short})
         self.k = np.array([budget(len(x), q, edits)[0] for _, x, _ in self.items], np.int64)
         self.least = np.array([budget(len(x), q, edits)[1] for _, x, _ in self.items], np.int64)
         size = np.array([len(x) for _, x, _ in self.items], np.int64)
@@ -88,7 +94,7 @@ class Index:
 
     def search(self, texts: list[str]) -> list[list[tuple[int, int, int, int]]]:
         """(item, edits, start, end) of what each normalised text holds; places count its characters."""
-        out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+        out = [self.exact(t) for t in texts]
         if not self.items:
             return out
         x = chars("\0".join(texts))
@@ -111,7 +117,10 @@ class Index:
         diagonal = place - self.at[index] + shift  # never negative
         band = diagonal // (self.k[item] + 1)
         span = int(band.max()) + 3 if len(band) else 3
-        key, first, count = np.unique(item * span + band, return_index=True, return_counts=True)
+        # A bucket belongs to one document, so that neighbours in a run don't share one.
+        doc = np.searchsorted(starts, place, side="right") - 1
+        owner = doc * len(self.items) + item
+        key, first, count = np.unique(owner * span + band, return_index=True, return_counts=True)
         after = np.searchsorted(key, key + 1)
         follows = (after < len(key)) & (key[np.minimum(after, len(key) - 1)] == key + 1)
         # The band of a key is its own diagonals and the next key's: bands overlap by half, so k + 1 neighbours lie in one.
@@ -119,18 +128,29 @@ class Index:
         begins = np.concatenate((key, key - 1))  # a bucket may also be the second half of a band that begins before it
         totals = np.concatenate((total, count))
         firsts = np.concatenate((first, first))
-        enough = totals >= self.least[begins // span]
+        enough = totals >= self.least[item[firsts]]
         done: set[tuple[int, int, int]] = set()
         for b, f in zip(begins[enough].tolist(), firsts[enough].tolist(), strict=True):
-            i, low = b // span, (b % span) * int(self.k[b // span] + 1) - int(shift[f])
-            doc = int(np.searchsorted(starts, place[f], side="right")) - 1
-            if (doc, i, low) not in done:
-                done.add((doc, i, low))
-                found = self.align(i, texts[doc], low - int(starts[doc]))
+            i, d = int(item[f]), int(doc[f])
+            low = (b - int(owner[f]) * span) * int(self.k[i] + 1) - int(shift[f])
+            if (d, i, low) not in done:
+                done.add((d, i, low))
+                found = self.align(i, texts[d], low - int(starts[d]))
                 if found:
-                    out[doc].append(found)
+                    out[d].append(found)
         return [sorted(set(x)) for x in out]
 
+    def exact(self, text: str) -> list[tuple[int, int, int, int]]:
+        """The short items of a text, each a run of its whole words."""
+        out = []
+        if self.short and text:
+            at = [0, *(m.end() for m in re.finditer(" ", text))]
+            for n in self.words:
+                for k in range(len(at) - n + 1):
+                    end = at[k + n] - 1 if k + n < len(at) else len(text)
+                    out += [(i, 0, at[k], end) for i in self.short.get(text[at[k] : end], ())]
+        return out
+
     def align(self, i: int, text: str, low: int) -> tuple[int, int, int, int] | None:
         """The item's best place on the band's diagonals and k to either side, if it takes at most k edits."""
         name, item, plain = self.items[i]
@@ -160,10 +180,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     A document holds an item if its normalised text (letters and digits, lower-cased) has a run at an edit
     distance of at most ``edits`` of the item's characters, less where the q-gram lemma would give no bound.
     Items are searched in blocks of about ``block_bytes``, each a pass over the documents, so that a task holds one
-    block whatever the benchmark's size; one block takes no shuffle. Items with null text or under ``q``
-    normalised characters are never found. Null and empty texts hold nothing. Repeated rows are all returned;
-    of an item that occurs in several places each is listed. Empty tables give empty results; columns not named are
-    not read.
+    block whatever the benchmark's size (a single larger item is a block); one block takes no shuffle, each further one
+    reads the documents and the benchmark again. Items under ``q`` normalised characters allow no edit and must be
+    whole words of the document; items with null text or without a letter or digit are never found. Null and empty
+    texts hold nothing. Repeated rows are all returned; of an item that occurs in several places each is listed. Empty
+    tables give empty results; columns not named are not read. Texts are searched in runs of about RUN characters, a
+    longer one by itself, so a task takes memory for the longest text.
     """
     items = benchmark.where(F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0

@@ -158,33 +158,37 @@ def measure(root: Node) -> list[Node]:
     body_links, body_chars = root.link_chars, max(1, root.chars)
     for n in reversed(nodes):
         c, t, lc, lt = n.chars, max(1, n.tags), max(1, n.link_chars), max(1, n.link_tags)
-        base = math.log(c / max(1, c - n.link_chars) * lc + body_links / body_chars * c + math.e)
-        n.density = c / t * math.log(max(1.0, c / lc * t / lt)) / math.log(1.0 + base) if c else 0.0
-        n.total = sum(k.density for k in n.children if not isinstance(k, str) and (n.off or not k.off)) or n.density
+        base = math.log(c / max(1, c - n.link_chars) * lc + body_links / body_chars * c + math.e)  # over 1, as lc is 1 at least
+        n.density = c / t * math.log(max(1.0, c / lc * t / lt), base) if c else 0.0
+        n.total = sum(k.density for k in n.children if not isinstance(k, str) and k.tag not in INLINE and (n.off or not k.off)) or n.density
     return nodes
 
 
 def main_node(root: Node) -> Node:
-    """The subtree of the greatest density sum, widened along its path to the body by the path's threshold."""
+    """The subtree of the greatest density sum among the nodes that pass the threshold of the body path.
+
+    The threshold is the least density on the path from the densest node to the body. Ancestors of the subtree that are
+    at least as dense as the body take it in, so that a heading beside the text is kept. Ties go to the longer text, then
+    to the first in page order.
+    """
     nodes = measure(root)
     body = next((n for n in nodes if n.tag == "body"), root)
-    best = body
-    for n in nodes:
-        if n.chars and not n.off and n.tag not in INLINE and (n.total, n.chars) > (best.total, best.chars):
-            best = n
-    path = []
-    node = best
-    while node is not None and node is not body:
-        path.append(node)
-        node = node.parent
-    for k in range(len(path) - 1, -1, -1):
-        if path[k].tag in ("article", "main") and 2 * path[k].link_chars <= path[k].chars:
-            return path[k]
-    # Without an article element that is more than links: the outermost ancestor on the path that is as dense as the body.
-    for n in reversed(path):
-        if n.density >= body.density and n.tag not in ("html", "#root"):
-            return n
-    return best
+    open_nodes = [n for n in nodes if n.chars and not n.off and n.tag not in INLINE and n.tag not in ("html", "body", "#root")]
+    if not open_nodes:
+        return body
+    densest = max(open_nodes, key=lambda n: (n.density, n.chars))
+    threshold = min(n.density for n in body_path(densest, body))
+    best = max((n for n in open_nodes if n.density >= threshold), key=lambda n: (n.total, n.chars))
+    wide = [n for n in body_path(best, body) if n.density >= body.density and n.tag not in ("html", "body", "#root")]
+    return wide[-1] if wide else best
+
+
+def body_path(node: Node, body: Node) -> list[Node]:
+    """The node and its ancestors up to the body, or to the root for a node outside it."""
+    path = [node]
+    while path[-1] is not body and path[-1].parent is not None:
+        path.append(path[-1].parent)
+    return path
 
 
 def boilerplate(n: Node, top: Node) -> bool:
@@ -247,6 +251,8 @@ def main_text(html: str | None) -> str:
 def extract_main_text(pages: DataFrame, page_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``page_col``, ``url_col``, text, n_chars for every page, from the whole html; one pass, no shuffle.
 
+    Composite text density chooses the article; elements that are no text whatever their density (scripts, navigation,
+    forms, asides, footers) are left out as the page is read, names in class and id are hints that density overrules.
     Null or empty html, and pages without text, give an empty text with 0 characters. Repeated rows are kept.
     A page is parsed alone, so memory is bounded by the longest page. Other columns are not read.
     """

@@ -20,6 +20,10 @@ BANDS, ROWS = 28, 4
 FIRST_BANDS = 4
 #: Members of a bucket compared at once when stars leave it in several components.
 RIGHT_BLOCK, LEFT_BLOCK = 256, 1024
+#: Least members of a bucket that stars may leave open: of two, the star has decided.
+OPEN = 3
+#: Classes whose keys are broadcast to find their texts (10 MB or so).
+FEW = 1 << 18
 
 
 def _sketch() -> SetSketch:
@@ -27,7 +31,7 @@ def _sketch() -> SetSketch:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """id, c, n, regs: the set's key and size and its registers (two bytes each); empty sets have n = 0."""
+    """id, t, c, n, regs: the text's hash, the set's key and size and its registers (two bytes each); empty sets have n = 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = _sketch()
@@ -35,15 +39,19 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
             for lo in range(0, whole.num_rows, 256):
                 b = whole.slice(lo, 256)
                 key, n, regs = [], [], []
-                for t in b.column(1).to_pylist():
+                for t in b.column(2).to_pylist():
                     s = shingle_set(normal(t), k)
-                    key.append(set_key(s)[0])
+                    key.append(set_key(s))
                     n.append(len(s))
                     regs.append(sketch.registers(s).astype("<u2").tobytes() if len(s) else b"")
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(regs, pa.binary())], names=["id", "c", "n", "regs"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(regs, pa.binary())], names=["id", "t", "c", "n", "regs"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, c bigint, n bigint, regs binary")
+    return _named(docs, id_col, text_col).mapInArrow(run, f"id {kind}, t bigint, c binary, n bigint, regs binary")
+
+
+def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
 
 
 def _regs(column: pa.Array | pd.Series) -> np.ndarray:
@@ -62,11 +70,16 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     side = lambda s: classes.select(F.col("c").alias(s), F.col("n").alias(f"n{s}"), F.col("regs").alias(f"r{s}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return sized.mapInArrow(run, "a bigint, b bigint")
+    return sized.mapInArrow(run, "a binary, b binary")
+
 
+def packed_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """c, z: the compressed words of the one document that stands for each class in ``wanted`` (c, rid, rt).
 
-def packed_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """c, z: the compressed words of one document of each class in ``wanted`` (id, c)."""
+    Id and text hash name the document, as one id may have several texts. Few classes are broadcast, so that no other
+    text moves.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard as zstd
@@ -75,11 +88,16 @@ def packed_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str,
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 part = b.slice(lo, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([z.compress(normal(t)) for t in part.column(1).to_pylist()], pa.binary())], names=["id", "z"])
+                small = pa.array([z.compress(normal(t)) for t in part.column("text").to_pylist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], small], names=[*part.schema.names[:-1], "z"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    small = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(pack, f"id {kind}, z binary")
-    return small.join(wanted, small["id"].eqNullSafe(wanted["id"])).select("c", "z")
+    own = _named(docs, id_col, text_col)
+    this = F.col("id").eqNullSafe(F.col("rid")) & (F.col("t") == F.col("rt"))
+    if wanted.count() <= FEW:
+        found = own.join(F.broadcast(wanted), this).select("c", "text").mapInArrow(pack, "c binary, z binary")
+    else:
+        found = own.mapInArrow(pack, f"id {kind}, t bigint, z binary").join(wanted, this).select("c", "z")
+    return found.groupBy("c").agg(F.any_value("z").alias("z"))
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataFrame:
@@ -93,19 +111,17 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataF
 
         for b in batches:
             ok = []
-            for a, c, za, zb in zip(*(b.column(x).to_pylist() for x in ("a", "b", "za", "zb")), strict=True):
+            for za, zb in zip(b.column("za").to_pylist(), b.column("zb").to_pylist(), strict=True):
                 # The hub of a star comes in many rows on end.
                 if last[0] != za:
                     last = (za, shingle_set(unpack.decompress(za), k))
                 x, y = last[1], shingle_set(unpack.decompress(zb), k)
-                # A document whose id also names another text is of no use for this class.
-                mine = set_key(x)[0] == a and set_key(y)[0] == c
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(mine and 100 * both >= percent * (len(x) + len(y) - both))
+                ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     side = lambda s: texts.select(F.col("c").alias(s), F.col("z").alias(f"z{s}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "za", "zb").mapInArrow(run, "a bigint, b bigint").distinct()
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "za", "zb").mapInArrow(run, "a binary, b binary").distinct()
 
 
 def banded(classes: DataFrame) -> DataFrame:
@@ -115,9 +131,9 @@ def banded(classes: DataFrame) -> DataFrame:
 
 
 def wanted(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """c, id of the classes in pairs."""
+    """c, rid, rt of the classes in pairs: id and text hash of the document that stands for it."""
     named = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    return named.join(classes.select("c", "id"), "c")
+    return named.join(classes.select("c", "rid", "rt"), "c")
 
 
 def stars(bands: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -139,7 +155,7 @@ def open_buckets(bands: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFr
     """
     own = bands.join(labels, "c", "left").select("band", "key", "c", F.coalesce("label", "c").alias("label"))
     parts = own.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    found = parts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts")).where("parts > 1 and size > 2")
+    found = parts.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts")).where(f"parts > 1 and size >= {OPEN}")
     blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
     return own, found.select("key", "main", blocks(F.col("size"), RIGHT_BLOCK).alias("nr"), blocks(F.col("size") - F.col("most"), LEFT_BLOCK).alias("nl"))
 
@@ -161,10 +177,9 @@ def remaining(own: DataFrame, buckets: DataFrame, classes: DataFrame, texts: Dat
 
         unpack, sketch, sets = zstd.ZstdDecompressor(), _sketch(), {}
 
-        def full(c: int, z: bytes) -> np.ndarray:
+        def full(c: bytes, z: bytes) -> np.ndarray:
             if c not in sets:
-                s = shingle_set(unpack.decompress(z), k)
-                sets[c] = s if set_key(s)[0] == c else np.zeros(0, np.uint64)
+                sets[c] = shingle_set(unpack.decompress(z), k)
             return sets[c]
 
         x, y = rows[rows["left"]], rows[~rows["left"]]
@@ -189,13 +204,13 @@ def remaining(own: DataFrame, buckets: DataFrame, classes: DataFrame, texts: Dat
                 if both and 100 * both >= percent * (len(mine) + len(other) - both):
                     a.append(min(xc[p], yc[q]))
                     b.append(max(xc[p], yc[q]))
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+        return pd.DataFrame({"a": a, "b": b}, dtype=object)
 
-    return left.unionByName(right).groupBy("key", "l", "r").applyInPandas(meet, "a bigint, b bigint").distinct()
+    return left.unionByName(right).groupBy("key", "l", "r").applyInPandas(meet, "a binary, b binary").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, k: int = 5) -> DataFrame:
-    """``id_col``, n_shingles, component_id, kept for every document.
+    """``id_col``, n_shingles, component_id, kept, text_hash, is_first for every document.
 
     Documents are linked if 100 * intersection >= percent * union of their k-word shingle sets; component_id is
     the smallest id reachable over links, kept says that it is the document's own. Documents with equal sets form
@@ -203,31 +218,40 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bucket's first document; then, in every bucket that still holds several components, the first of each with the
     bucket's first; then, where that leaves several, all members of the smaller ones with all members. Links are
     confirmed on full sets.
+    is_first marks one document of each component, by id and ``text_hash`` (xxhash64 of the text): where an id names
+    several texts, kept may hold for two of them, is_first holds for one.
     Null, empty and blank texts have no shingles and link with nothing. Repeated rows are all returned, in one
     component. Null ids take part; they are smaller than none, and such a row is kept if its component has no
-    other id. An empty table gives an empty table; other columns are not read.
+    other id. An empty table gives an empty table; other columns are not read. A text is hashed in blocks; a task holds
+    the sets of the texts that it compares, so it takes memory for the longest ones.
     """
     sketch = written(sketches(docs, id_col, text_col, k), "sketches")
-    classes = written(sketch.where("n > 0").groupBy("c").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("regs").alias("regs")), "classes")
+    one = F.struct(F.col("id").isNull().alias("none"), "id", "t")
+    classes = sketch.where("n > 0").groupBy("c").agg(F.min(one).alias("one"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    classes = written(classes.select("c", F.col("one.id").alias("id"), F.col("one.id").alias("rid"), F.col("one.t").alias("rt"), "n", "regs"), "classes")
     bands = banded(classes)
     few = written(likely(stars(bands.where(F.col("band") < FIRST_BANDS), None), classes, percent), "pairs")
-    texts = written(packed_texts(docs, wanted(few, classes), id_col, text_col, k), "texts")
+    texts = written(packed_texts(docs, wanted(few, classes), id_col, text_col), "texts")
     links = written(confirmed(few, texts, percent, k), "links")
     labels = components(links)
     pairs = written(likely(stars(bands, labels), classes, percent).join(few, ["a", "b"], "left_anti"), "pairs")
     own, buckets = open_buckets(bands, labels)
     buckets = written(buckets, "buckets")
     members = own.join(buckets, "key", "left_semi").select("c").unionByName(pairs.select(F.col("a").alias("c"))).unionByName(pairs.select(F.col("b").alias("c"))).distinct()
-    unseen = members.join(texts.select("c"), "c", "left_anti").join(classes.select("c", "id"), "c")
-    texts = written(texts.unionByName(packed_texts(docs, unseen, id_col, text_col, k)), "texts")
+    unseen = written(members.join(texts.select("c"), "c", "left_anti").join(classes.select("c", "rid", "rt"), "c"), "unseen")
+    texts = written(texts.unionByName(packed_texts(docs, unseen, id_col, text_col)), "texts")
     links = written(links.unionByName(confirmed(pairs, texts, percent, k)), "links")
     labels = components(links)
     own, buckets = open_buckets(bands, labels)
     links = written(links.unionByName(remaining(own, buckets, classes, texts, percent, k)), "links")
     labels = components(links)
-    parts = classes.select("c", "id").join(labels, "c", "left").select("c", "id", F.coalesce("label", "c").alias("label"))
-    least = parts.groupBy("label").agg(F.min("id").alias("component_id"))
-    named = parts.join(least, "label").select("c", "component_id")
-    out = sketch.select("id", "n", F.when(F.col("n") > 0, F.col("c")).alias("c")).join(named, "c", "left")
-    component = F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("component_id"))
-    return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
+    parts = classes.select("c", "rid", "rt").join(labels, "c", "left").select("c", F.struct(F.col("rid").isNull().alias("none"), "rid", "rt").alias("one"), F.coalesce("label", "c").alias("label"))
+    least = parts.groupBy("label").agg(F.min("one").alias("least"))
+    named = parts.join(least, "label").select("c", "least")
+    out = sketch.select("id", "t", "n", F.when(F.col("n") > 0, F.col("c")).alias("c")).join(named, "c", "left")
+    alone = F.col("c").isNull()
+    component = F.when(alone, F.col("id")).otherwise(F.col("least.rid"))
+    kept = F.col("id").eqNullSafe(component)
+    return out.select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"),
+        F.col("t").alias("text_hash"), (alone | (kept & (F.col("t") == F.col("least.rt")))).alias("is_first"))

@@ -24,17 +24,21 @@ def numbers(n: int, seed: int) -> np.ndarray:
         return mix(np.arange(1, n + 1, dtype=np.uint64) * GOLDEN + np.uint64(seed) * MIX1)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """p^k and p^-k modulo 2^64 for k < n, p odd; kept and doubled when more are needed."""
-    if "p" not in _state or len(_state["p"]) < n:
-        size = max(1 << 16, 2 * n)
+#: Bytes of words hashed at a time; a longer word is hashed by itself.
+BLOCK = 1 << 16
+
+
+def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each byte, and p^k and p^-k modulo 2^64 for k up to BLOCK, p odd; built once in a process."""
+    if not _state:
+        _state["bytes"] = numbers(256, 7)
         p = int(numbers(1, 11)[0]) | 1
         with np.errstate(over="ignore"):
             for name, factor in (("p", p), ("q", pow(p, -1, 1 << 64))):
-                each = np.full(size, factor, np.uint64)
+                each = np.full(BLOCK + 1, factor, np.uint64)
                 each[0] = 1
                 _state[name] = np.cumprod(each, dtype=np.uint64)
-    return _state["p"], _state["q"]
+    return _state["bytes"], _state["p"], _state["q"]
 
 
 def normal(text: str | None) -> bytes:
@@ -42,29 +46,44 @@ def normal(text: str | None) -> bytes:
     return b" ".join(text.encode("utf-8", "replace").lower().split()) if text else b""
 
 
+def word_hashes(words: bytes) -> np.ndarray:
+    """Hashes of the words of ``normal`` text, in blocks, so that memory beyond the text's own is a few bytes a word."""
+    b = np.frombuffer(words, np.uint8)
+    each, p, q = tables()
+    gaps = np.flatnonzero(b == 32)
+    starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(b)]))
+    out, k = np.empty(len(starts), np.uint64), 0
+    with np.errstate(over="ignore"):
+        while k < len(starts):
+            low = int(starts[k])
+            m = max(k + 1, int(np.searchsorted(ends, low + BLOCK, side="right")))
+            high = int(ends[m - 1])
+            if high - low > BLOCK:
+                out[k] = int.from_bytes(hashlib.blake2b(words[low:high], digest_size=8).digest(), "little")
+            else:
+                prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(each[b[low:high]] * p[: high - low], dtype=np.uint64)))
+                out[k:m] = (prefix[ends[k:m] - low] - prefix[starts[k:m] - low]) * q[starts[k:m] - low]
+            k = m
+    return mix(out)
+
+
 def shingle_set(words: bytes, k: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the k-word shingles of ``normal`` text; with fewer words one, of all of them."""
     if not words:
         return np.zeros(0, np.uint64)
-    b = np.frombuffer(words, np.uint8)
-    if "bytes" not in _state:
-        _state["bytes"] = numbers(256, 7)
-    p, q = powers(len(b) + 1)
+    w = word_hashes(words)
+    k = min(k, len(w))
+    n = len(w) - k + 1
+    h = np.zeros(n, np.uint64)
     with np.errstate(over="ignore"):
-        prefix = np.concatenate((np.zeros(1, np.uint64), np.cumsum(_state["bytes"][b] * p[: len(b)], dtype=np.uint64)))
-        gaps = np.flatnonzero(b == 32)
-        starts, ends = np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(b)]))
-        if len(starts) > k:
-            starts, ends = starts[: len(starts) - k + 1], ends[k - 1 :]
-        elif len(starts) <= k:
-            starts, ends = starts[:1], ends[-1:]
-        return np.unique(mix((prefix[ends] - prefix[starts]) * q[starts]))
-
-
-def set_key(s: np.ndarray) -> tuple[int, int]:
-    """128 bits that name a set, as two signed numbers."""
-    d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+        for j in range(k):
+            h = h * GOLDEN + w[j : j + n]
+        return np.unique(mix(h))
+
+
+def set_key(s: np.ndarray) -> bytes:
+    """128 bits that name a set."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
 
 
 class SetSketch:

@@ -9,6 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -17,8 +18,8 @@ from weirflow.llm.common import once, written
 
 #: Bounds of the sample that the tree is fitted on and of the queries that calibrate it.
 SAMPLE, CALIBRATION = 20_000, 400
-#: Children of a node and levels of nodes that are split: at most BRANCH ** DEPTH leaves, whatever the table's size.
-BRANCH, DEPTH = 12, 2
+#: Vectors that a leaf should hold; a node has at most BRANCH children, and the broadcast tree at most LEAVES leaves.
+LEAF, BRANCH, LEAVES = 256, 12, 1728
 #: Members of a leaf, and queries, that one task compares at once.
 MEMBER_BLOCK, QUERY_BLOCK = 4096, 2048
 
@@ -71,7 +72,14 @@ def k_means(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 12) -
     return c
 
 
-def fit_tree(x: np.ndarray, branch: int = BRANCH, depth: int = DEPTH, seed: int = 5) -> Tree:
+def shape(n: int) -> tuple[int, int]:
+    """(branch, depth) of the tree for ``n`` vectors: about n / LEAF leaves, LEAVES at most."""
+    leaves = min(LEAVES, max(1.0, n / LEAF))
+    depth = max(1, int(np.ceil(np.log(leaves) / np.log(BRANCH) - 1e-9)))
+    return max(2, int(np.ceil(leaves ** (1 / depth) - 1e-9))), depth
+
+
+def fit_tree(x: np.ndarray, branch: int, depth: int, seed: int = 5) -> Tree:
     """Split the sample by k-means on ``depth`` levels; a node that can't be split is a leaf."""
     rng = np.random.default_rng(seed)
     centres, children, leaf, leaves = [x.mean(axis=0)], [()], [-1], 0
@@ -97,11 +105,11 @@ def fit_tree(x: np.ndarray, branch: int = BRANCH, depth: int = DEPTH, seed: int
 
 
 def calibrate(tree: Tree, x: np.ndarray, k: int, recall: float) -> Tree:
-    """Widen the visits until ``recall`` of the sample's true neighbours lie in the visited leaves.
+    """Widen the visits until ``recall`` of the true neighbours of the sample's first vectors lie in the visited leaves.
 
-    A sample's neighbours are farther than the whole table's, so that it needs no fewer visits.
+    The tree was not fitted on these. A sample's neighbours are farther than the whole table's, so that it needs no fewer visits.
     """
-    own, leaf = x[:CALIBRATION], tree.assign(x)
+    own, leaf = x[: min(CALIBRATION, max(1, len(x) // 2))], tree.assign(x)
     rank = np.full((len(own), tree.leaves), tree.leaves, np.int64)
     for i, q in enumerate(own):
         for r, at in enumerate(tree.best_first(q, tree.leaves)):
@@ -130,7 +138,8 @@ def train(vectors: DataFrame, k: int, recall: float, sample: int = SAMPLE) -> Tr
     if not len(x):
         return None
     x = x.flatten().to_numpy().reshape(len(x), -1)
-    return calibrate(fit_tree(x), x, k, recall)
+    held = min(CALIBRATION, len(x) // 2)
+    return calibrate(fit_tree(x[held:], *shape(n)), x, k, recall)
 
 
 def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col: str = "embedding", k: int = 20, recall: float = 0.97) -> DataFrame:
@@ -141,9 +150,12 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col
     leaves, best bin first, as calibration needed for ``recall``. A leaf is searched in blocks of bounded size, and
     each block returns its ``k`` best, so that neither a hot leaf nor a query gathers unbounded rows. A query with
     fewer than ``k`` candidates found is searched again in all leaves.
+    The tree has about a leaf for LEAF vectors, up to LEAVES, which bounds the broadcast; beyond LEAF * LEAVES vectors
+    the leaves grow, and with them the comparisons of a query.
     Vectors that are null, zero or hold null or non-finite components take no part, as do null ids and vectors of
-    another length than most. Repeated ids are separate candidates with equal ids; a query that repeats is answered
-    once, for its smallest vector. Empty tables give empty results; other columns are not read.
+    another length than most, which have no inner product with them. Rows that repeat an id are rows of their own: each
+    is a candidate for the others and, if asked for, answered by itself under its id. Empty tables give empty results;
+    other columns are not read.
     """
     vec = F.col(vec_col)
     good = vectors.where(F.col(id_col).isNotNull() & usable(vec)).select(F.col(id_col).cast("long").alias("id"), F.transform(vec, lambda v: v.cast("double")).alias("x"), F.coalesce(queries, F.lit(False)).alias("q"))
@@ -156,12 +168,15 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col
     shared = vectors.sparkSession.sparkContext.broadcast(tree)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row = TaskContext.get().partitionId() << 33
         for b in batches:
             x = b.column("x").flatten().to_numpy().reshape(b.num_rows, -1)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("x"), b.column("q"), pa.array(shared.value.assign(x))], names=["id", "x", "q", "leaf"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(row, row + b.num_rows)), *b.columns, pa.array(shared.value.assign(x))], names=["row", "id", "x", "q", "leaf"])
+            row += b.num_rows
 
-    index = written(good.mapInArrow(place, "id bigint, x array<double>, q boolean, leaf bigint"), "vectors")
-    asked = index.where("q").groupBy("id").agg(F.min("x").alias("x"))
+    # Written once, so that a row keeps its number.
+    index = written(good.mapInArrow(place, "row bigint, id bigint, x array<double>, q boolean, leaf bigint"), "vectors")
+    asked = index.where("q").select("row", "x")
 
     def visit(all_leaves: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,30 +184,30 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col
             for b in batches:
                 x = b.column("x").flatten().to_numpy().reshape(b.num_rows, -1) if b.num_rows else np.zeros((0, 1))
                 where = [t.best_first(q, t.leaves if all_leaves else t.visits) for q in x]
-                yield pa.RecordBatch.from_arrays([b.column("id"), b.column("x"), pa.array(where, pa.list_(pa.int64()))], names=["id", "x", "leaves"])
+                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("x"), pa.array(where, pa.list_(pa.int64()))], names=["row", "x", "leaves"])
 
         return run
 
     blocks = index.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / MEMBER_BLOCK).cast("int").alias("blocks"))
-    members = index.join(blocks, "leaf").select("leaf", F.pmod(F.xxhash64("id", "x"), F.col("blocks")).cast("int").alias("block"), "id", "x")
+    members = index.join(blocks, "leaf").select("leaf", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int").alias("block"), "row", "id", "x")
 
     def search(rows: DataFrame, all_leaves: bool) -> DataFrame:
-        went = rows.mapInArrow(visit(all_leaves), "id bigint, x array<double>, leaves array<bigint>").select("id", "x", F.explode("leaves").alias("leaf"))
+        went = rows.mapInArrow(visit(all_leaves), "row bigint, x array<double>, leaves array<bigint>").select("row", "x", F.explode("leaves").alias("leaf"))
         per_leaf = went.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / QUERY_BLOCK).cast("int").alias("parts"))
-        left = went.join(blocks, "leaf").join(per_leaf, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), "id", "x")
-        right = members.join(per_leaf, "leaf").select("leaf", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "id", "x")
+        left = went.join(blocks, "leaf").join(per_leaf, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64("row"), F.col("parts")).cast("int").alias("part"), "row", "x")
+        right = members.join(per_leaf, "leaf").select("leaf", "block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "row", "id", "x")
 
         def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
             if not len(a) or not len(b):
-                return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                return pd.DataFrame({"query": [], "vec_id": [], "score": []}).astype({"query": "int64", "vec_id": "int64", "score": "float64"})
             q, c = np.stack(a["x"].to_numpy()), np.stack(b["x"].to_numpy())
-            qi, ci = a["id"].to_numpy(), b["id"].to_numpy()
+            qi, cr, ci = a["row"].to_numpy(), b["row"].to_numpy(), b["id"].to_numpy()
             out = []
             for lo in range(0, len(q), 256):
                 # One order of summation, whatever the block: equal vectors score exactly alike.
                 s = np.einsum("id,jd->ij", q[lo : lo + 256], c, optimize=False)
                 for i in range(len(s)):
-                    ok = np.flatnonzero(ci != qi[lo + i])
+                    ok = np.flatnonzero(cr != qi[lo + i])
                     row = s[i, ok]
                     if len(ok) > k:
                         least = -np.partition(-row, k - 1)[k - 1]
@@ -200,16 +215,17 @@ def nearest(vectors: DataFrame, queries: Column, id_col: str = "vec_id", vec_col
                         row = s[i, ok]
                     order = np.lexsort((ci[ok], -row))[:k]
                     out.append((np.full(len(order), qi[lo + i]), ci[ok][order], row[order]))
-            return pd.DataFrame({"query_id": np.concatenate([o[0] for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
+            return pd.DataFrame({"query": np.concatenate([o[0] for o in out]), "vec_id": np.concatenate([o[1] for o in out]), "score": np.concatenate([o[2] for o in out])})
 
         key = ["leaf", "block", "part"]
-        found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(lambda a, b: compare(a, b), "query_id bigint, vec_id bigint, score double")
-        order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInPandas(lambda a, b: compare(a, b), "query bigint, vec_id bigint, score double")
+        order = W.partitionBy("query").orderBy(F.desc("score"), "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
     first = written(search(asked, False), "found")
-    few = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
-    short = asked.join(few, asked["id"] == few["query_id"], "left_anti")
+    few = first.groupBy("query").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    short = asked.join(few, asked["row"] == few["query"], "left_anti")
     rest = search(short, True) if not short.isEmpty() else first.limit(0)
-    done = first.join(few.select("query_id"), "query_id", "left_semi")
-    return done.unionByName(rest).select("query_id", "rank", "vec_id", "score")
+    done = first.join(few.select("query"), "query", "left_semi")
+    names = index.where("q").select(F.col("row").alias("query"), F.col("id").alias("query_id"))
+    return done.unionByName(rest).join(names, "query").select("query_id", "rank", "vec_id", "score")

@@ -78,11 +78,17 @@ own AS (
 said AS (
   SELECT doc_id AS page_id, count(*) AS n, sum(CASE WHEN toxic = 1 OR quality = 0 THEN 1 ELSE 0 END) AS bad
   FROM labels WHERE toxic = 1 OR quality = 0 OR (toxic IS NOT NULL AND quality IS NOT NULL) GROUP BY doc_id),
+named AS (
+  SELECT page_id, host, path, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM own),
+h0 AS (
+  SELECT name, cast(coalesce(sum(n), 0) AS DOUBLE) AS n, cast(coalesce(sum(bad), 0) AS DOUBLE) AS bad, string_split(name, '.') AS l,
+    regexp_matches(name, '^\\[.*\\]$|^[0-9]+(\\.[0-9]+){3}$') AS address
+  FROM named LEFT JOIN said USING (page_id) GROUP BY name),
+h1 AS (SELECT *, CASE WHEN len(l) > 1 AND regexp_matches(l[-1], '^[a-z][a-z]$') AND l[-2] IN (SECOND) THEN 2 ELSE 1 END AS k FROM h0),
 h AS (
-  SELECT host, cast(coalesce(sum(n), 0) AS DOUBLE) AS n, cast(coalesce(sum(bad), 0) AS DOUBLE) AS bad,
-    list_extract(string_split(host, '.'), -1) AS suffix,
-    CASE WHEN len(string_split(host, '.')) > 2 THEN list_extract(string_split(host, '.'), -2) || '.' || list_extract(string_split(host, '.'), -1) ELSE host END AS domain
-  FROM own LEFT JOIN said USING (page_id) GROUP BY host),
+  SELECT name, n, bad, CASE WHEN address THEN '<address>' ELSE array_to_string(l[-k:], '.') END AS suffix,
+    CASE WHEN address THEN name ELSE array_to_string(l[-(k + 1):], '.') END AS domain
+  FROM h1),
 d AS (SELECT suffix, domain, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY ALL),
 s AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY ALL),
 g AS (SELECT 0 AS lv, n, bad FROM s UNION ALL SELECT 1, n, bad FROM d UNION ALL SELECT 2, n, bad FROM h),
@@ -94,18 +100,22 @@ x AS (
 x0 AS (SELECT * FROM x WHERE lv = 0), x1 AS (SELECT * FROM x WHERE lv = 1), x2 AS (SELECT * FROM x WHERE lv = 2),
 ps AS (SELECT suffix, (bad + x0.w * x0.r) / (n + x0.w) AS r1 FROM s, x0),
 pd AS (SELECT domain, (bad + x1.w * r1) / (n + x1.w) AS r2 FROM d JOIN ps USING (suffix), x1),
-ph AS (SELECT host, n, bad + x2.w * r2 AS a, n - bad + x2.w * (1 - r2) AS b FROM h JOIN pd USING (domain), x2),
-rep AS (SELECT host, cast(n AS BIGINT) AS n_labelled, a / (a + b) AS bad_rate, a / (a + b) - 1.645 * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS bad_bound FROM ph),
+ph AS (SELECT name, n, bad + x2.w * r2 AS a, n - bad + x2.w * (1 - r2) AS b FROM h JOIN pd USING (domain), x2),
+post AS (
+  SELECT name, n, a, b, exp((a + b) * ln(0.5) + lgamma(a + b) - lgamma(a + 1) - lgamma(b)) * (1 + list_sum(list_transform(range(4000),
+    lambda i: exp(lgamma(a + b + i + 1) + lgamma(a + 1) - lgamma(a + b) - lgamma(a + i + 2) + (i + 1) * ln(0.5))))) AS below
+  FROM (SELECT name, n, greatest(a, 1e-9) AS a, greatest(b, 1e-9) AS b FROM ph)),
+rep AS (SELECT name, cast(n AS BIGINT) AS n_labelled, a / (a + b) AS bad_rate, 1 - below AS bad_odds FROM post),
 rules(action, rhost, rpath) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('allow', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
 pairs AS (SELECT DISTINCT host, path FROM own),
 fit AS (
   SELECT host, path, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(action, length(rhost || rpath)) AS action
   FROM pairs JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY host, path)
 SELECT page_id, own.host AS host, own.path AS path, fit.rule AS rule,
-  coalesce(fit.action, CASE WHEN bad_bound > 0.5 THEN 'block' ELSE 'allow' END) AS verdict,
-  n_labelled, round(bad_rate, 6) AS bad_rate, round(bad_bound, 6) AS bad_bound
-FROM own LEFT JOIN fit ON own.host = fit.host AND own.path = fit.path JOIN rep ON own.host = rep.host
-"""
+  coalesce(fit.action, CASE WHEN bad_odds > 0.95 THEN 'block' ELSE 'allow' END) AS verdict,
+  n_labelled, round(bad_rate, 6) AS bad_rate, round(bad_odds, 6) AS bad_odds
+FROM named AS own LEFT JOIN fit ON own.host = fit.host AND own.path = fit.path JOIN rep ON own.name = rep.name
+""".replace("SECOND", ", ".join(f"'{x}'" for x in url_filter.SECOND_LEVEL))
 
 
 def oracle_sql() -> dict[str, str]:

@@ -16,7 +16,12 @@ from weirflow.llm.shingles import SetSketch, normal, shingle_set
 SF = "/root/testdata/sf0.001"
 
 
-def brute_components(rows, percent):
+def brute_groups(rows, percent):
+    """Numbers of the components that have shingles, all pairs compared."""
+    return brute_components(rows, percent, groups=True)
+
+
+def brute_components(rows, percent, groups=False):
     """(id, set size, smallest id reachable) of every row, all pairs compared."""
     sets = []
     for _, t in rows:
@@ -35,6 +40,8 @@ def brute_components(rows, percent):
             both = len(sets[a] & sets[b])
             if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 up[top(a)] = top(b)
+    if groups:
+        return {top(k) for k in range(len(rows)) if sets[k]}
     least = defaultdict(list)
     for k, (i, _) in enumerate(rows):
         if i is not None:
@@ -64,6 +71,29 @@ def test_near_duplicates_of_odd_and_edited_texts(spark, monkeypatch):
         assert found(None, rows, spark, percent) == brute_components(rows, percent)
 
 
+@pytest.mark.parametrize("stars", [True, False])
+def test_near_duplicates_where_ids_name_several_texts(spark, monkeypatch, stars):
+    """Links between texts under one id, also where all buckets are left to blocks."""
+    if not stars:
+        none = near_dedup.stars
+        monkeypatch.setattr(near_dedup, "stars", lambda bands, labels: none(bands, labels).limit(0))
+        monkeypatch.setattr(near_dedup, "OPEN", 2)
+    monkeypatch.setattr(near_dedup, "RIGHT_BLOCK", 5)
+    monkeypatch.setattr(near_dedup, "LEFT_BLOCK", 3)
+    rnd, rows = random.Random(4), []
+    for base in range(5):
+        text = [f"v{rnd.randrange(500)}" for _ in range(80)]
+        for k in range(7):
+            text = list(text)
+            text[rnd.randrange(80)] = f"e{rnd.randrange(500)}"
+            rows += [(200 + (base + 3 * k) % 9, " ".join(text))] * (1 + k % 2)
+    rows += [(200, None), (200, ""), (None, rows[0][1])]
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), percent=85).collect()
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute_components(rows, 85)
+    firsts = {(r.doc_id, r.text_hash) for r in got if r.is_first and r.n_shingles}
+    assert len(firsts) == len(brute_groups(rows, 85))
+
+
 def test_op6_on_the_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = queries.op6_near_dedup(spark, SF).collect()
@@ -108,7 +138,7 @@ def test_line_dedup_drops_recurring_templates_only(spark):
         got[r.doc_id].append((r.text, r.n_lines, r.n_dropped))
     assert got[0] == [(rows[0][1], 11, 0)]
     for k in range(1, 5):
-        assert got[k] == [(f"{own(k)}\nshort one", 11, 2)]
+        assert got[k] == [(own(k), 11, 3)]  # a short line counts as any other
     for k in range(4):
         assert got[50 + k] == [(rows[5 + k][1], 2, 0)]  # copies of one document are no recurring template
     assert got[60] == [(None, 0, 0)] and got[61] == [("", 1, 0)] and got[None] == [(own(9), 8, 0)] and got[62] == [(own(8), 8, 0)] * 2
@@ -135,7 +165,7 @@ def test_line_dedup_tells_documents_apart_by_more_than_one_line(spark):
     got = {r.doc_id: r for r in line_dedup.line_dedup(rows_of(spark, rows)).collect()}
     assert got[0].text == rows[0][1]
     for k in range(1, 25):
-        assert got[k].text == "\n".join([*rows[k][1].split("\n")[:2], shared[2], shared[3]])
+        assert got[k].text == "\n".join(rows[k][1].split("\n")[:2])
     assert all(got[k].n_dropped == 0 for k in got if k >= 100)
 
 
@@ -160,10 +190,10 @@ def test_language_id_on_held_out_documents(spark):
 
 def test_language_id_of_odd_rows(spark):
     train = [(k, "the cat and the dog are in the house " * 3, "en") for k in range(30)] + [(100 + k, "der hund und die katze sind im haus " * 3, "de") for k in range(30)]
-    odd = [(500, None, None), (501, "", "en"), (502, "12 34 !?", "en"), (None, "der hund und die katze", None), (503, "the dog and the cat " * 20_000, None), (503, "the dog and the cat", None)]
+    odd = [(500, None, None), (501, "", "en"), (502, "12 34 !?", "en"), (504, "\u00bd \u00b2 \u2460 \u2167 \u0661", "en"), (505, "der \u00bdhund", None), (None, "der hund und die katze", None), (503, "the dog and the cat " * 20_000, None), (503, "the dog and the cat", None)]
     df = spark.createDataFrame(train + odd, "doc_id long, text string, lang string").withColumn("score", F.lit("clash"))
     got = language_id.identify(df, language_id.train_profiles(df)).where("doc_id >= 500 or doc_id is null").collect()
-    assert sorted((str(r.doc_id), r.lang_pred) for r in got) == sorted([("500", "und"), ("501", "und"), ("502", "und"), ("None", "de"), ("503", "en"), ("503", "en")])
+    assert sorted((str(r.doc_id), r.lang_pred) for r in got) == sorted([("500", "und"), ("501", "und"), ("502", "und"), ("504", "und"), ("505", "de"), ("None", "de"), ("503", "en"), ("503", "en")])
     assert all(r.rejected for r in got if r.lang_pred == "und")
     none = df.limit(0)
     assert language_id.identify(none, language_id.train_profiles(none)).collect() == []
@@ -182,7 +212,7 @@ def edits(a, b):
 
 def test_decontamination_finds_what_the_budget_allows(spark):
     rnd = random.Random(5)
-    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()][:12] + [(900, None), (901, "ab"), (902, "")]
+    bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()][:12] + [(900, None), (901, "ab"), (902, ""), (903, "Of a, b!"), (904, "ab")]
     docs = [(1000, None), (1001, ""), (None, bench[0][1].upper()), (1002, "clean words only " * 3000)]
     for n, (_, text) in enumerate(bench[:12]):
         for share in (0, 0.04, 0.08, 0.3):
@@ -191,12 +221,16 @@ def test_decontamination_finds_what_the_budget_allows(spark):
                 p = rnd.randrange(len(t))
                 t[p : p + rnd.randrange(2)] = rnd.choice(["", "q", "zz"])
             docs.append((n * 10 + int(share * 100), rnd.choice(["", "before this "]) + "".join(t) + rnd.choice(["", " after that"])))
-    docs += docs[-1:]
+    docs += docs[-1:] + [(1003, "of a b"), (1004, "xab ab"), (1005, "xab of a bc"), (1006, "AB"), (1007, "of\na.b  ab of a b")]
+    # An item at the start of a text whose neighbour before it ends with the item's beginning.
+    long = decontaminate.normal(bench[0][1])
+    docs += [(1010 + k, f"x {long[: 20 + k]}" if k % 2 == 0 else long[6:] + " tail") for k in range(8)]
     items = [(i, decontaminate.normal(t)) for i, t in bench if t and len(decontaminate.normal(t)) >= decontaminate.Q]
     want = []
     for i, t in docs:
         t = decontaminate.normal(t)
-        want.append((i, sorted(b for b, x in items if edits(x, t) <= decontaminate.budget(len(x), decontaminate.Q, decontaminate.EDITS)[0])))
+        short = [b for b, x in ((901, "ab"), (903, "of a b"), (904, "ab")) if f" {x} " in f" {t} "]
+        want.append((i, sorted(short + [b for b, x in items if edits(x, t) <= decontaminate.budget(len(x), decontaminate.Q, decontaminate.EDITS)[0]])))
     df, b = rows_of(spark, docs).withColumn("found", F.lit(1)), spark.createDataFrame(bench, "item_id long, text string")
     for limit in (decontaminate.BLOCK_BYTES, 600):
         got = decontaminate.contamination(df, b, block_bytes=limit).collect()
@@ -237,3 +271,7 @@ def test_stages_take_nothing_and_nulls(spark, stage):
     one = spark.createDataFrame([(None, None, None, None, None), (1, "the same text of a few words", "en", "s", 28), (1, "the same text of a few words", "en", "s", 28)], "doc_id long, text string, lang string, source string, n_chars long")
     assert stage(spark, one.limit(0), SF).collect() == []
     assert stage(spark, one, SF).count() <= 3
+    clash = one.drop("n_chars").select("*", *[F.lit(7).alias(c) for c in ("n_lines", "n_dropped", "kept", "score", "found", "ids", "_id", "_hash", "text_hash", "row", "id", "c", "t", "component_id")])
+    got = stage(spark, clash, SF)
+    assert got.columns == clash.columns or stage is corpus_pipeline.token_stage
+    assert got.count() <= 3

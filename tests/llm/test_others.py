@@ -48,6 +48,12 @@ def test_nearest_of_few_and_odd_vectors(spark):
     got = sorted(map(tuple, ann.nearest(df, F.col("vec_id") % 20 == 0, k=3).collect()))
     assert got == [(0, 1, 1, 2.0), (0, 2, 2, 2.0), (0, 3, 20, 0.0), (20, 1, 0, 0.0), (20, 2, 1, 0.0), (20, 3, 2, 0.0)]
     assert ann.nearest(df.limit(0), F.lit(True)).collect() == []
+    twice = spark.createDataFrame([(20, [1.0, 0.0]), (20, [3.0, 0.0]), (1, [2.0, 0.0])], "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, ann.nearest(twice, F.col("vec_id") % 20 == 0, k=1).collect())) == [(20, 1, 1, 6.0), (20, 1, 20, 3.0)]
+
+
+def test_tree_shape_follows_the_table():
+    assert ann.shape(1) == (2, 1) and ann.shape(10_000) == (7, 2) and ann.shape(10**12) == (12, 3)
 
 
 def test_nearest_recall(spark):
@@ -69,10 +75,22 @@ def test_url_filter_matches_its_oracle(spark):
     c = duckdb.connect()
     for t in ("pages", "labels"):
         c.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
-    names = "page_id, host, path, rule, verdict, n_labelled, bad_rate, bad_bound"
+    names = "page_id, host, path, rule, verdict, n_labelled, bad_rate, bad_odds"
     assert sorted(map(tuple, queries.op7_url_filter(spark, SF).select(*names.split(", ")).collect())) == sorted(c.sql(f"SELECT {names} FROM ({queries.OP7_SQL})").fetchall())
 
 
+def test_registered_domains(spark):
+    hosts = {"a.b.co.uk": ("a.b.co.uk", "b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk", "co.uk"), "x.com:8080": ("x.com", "x.com", "com"), "me:pw@www.x.org": ("www.x.org", "x.org", "org"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1", "<address>"), "[::1]:8": ("[::1]", "[::1]", "<address>"), "": ("", "", ""), "co.com": ("co.com", "co.com", "com")}
+    df = spark.createDataFrame([(h,) for h in hosts], "host string")
+    assert {r.host: tuple(r)[1:] for r in df.select("host", *url_filter.registered(F.col("host"))).collect()} == hosts
+
+
+def test_beta_below_is_the_integral():
+    for a, b, x in ((0.3, 4.0, 0.5), (2.0, 2.0, 0.5), (30.5, 11.0, 0.5), (900.0, 700.0, 0.5), (5.0, 1.5, 0.9), (1e-9, 5.0, 0.5)):
+        drawn = np.random.default_rng(1).beta(a, b, 400_000)
+        assert abs(url_filter.beta_below(np.array([a]), np.array([b]), x)[0] - (drawn <= x).mean()) < 0.004
+
+
 def test_url_filter_of_odd_urls(spark):
     rows = [(1, None), (2, "no scheme"), (3, "http://A.COM/en/x?y"), (4, "https://example.com/en/7#z"), (5, "x://example.net/de/81"), (6, "x://notexample.net/de/8"), (7, "ftp://org"), (7, "ftp://org"), (8, "http://bad.test/")]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("host", F.lit("clash"))

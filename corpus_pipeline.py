@@ -6,38 +6,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.llm import bpe, decontaminate, language_id, line_dedup, near_dedup
-from weirflow.llm.common import table, written
+from weirflow.llm.common import small_batches, table, written
+
+
+def own_columns(docs: DataFrame) -> DataFrame:
+    """doc_id, text and the whole row beside them, so that no column of the row clashes with an operator's."""
+    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is rejected (no letters, or a tie of two languages) go; the others stay unchanged."""
+    small_batches(spark)
     profiles = language_id.train_profiles(docs)
-    got = language_id.identify(docs, profiles, min_margin=language_id.MIN_MARGIN, keep=tuple(docs.columns))
-    return got.where(~F.col("rejected")).select(*docs.columns)
+    got = language_id.identify(own_columns(docs), profiles, min_margin=language_id.MIN_MARGIN, keep=("_row",))
+    return got.where(~F.col("rejected")).select("_row.*")
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Recurring lines go; a document of which nothing else is left goes with them. n_chars follows the text."""
-    got = line_dedup.line_dedup(docs)
+    """Recurring lines go; a document of which nothing else is left goes with them. n_chars, if there, follows the text."""
+    small_batches(spark)
+    got = line_dedup.line_dedup(own_columns(docs))
     emptied = (F.col("n_dropped") > 0) & (F.trim(F.regexp_replace("text", r"[\t-\r ]+", " ")) == "")
-    n_chars = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-    return got.where(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", n_chars).select(*docs.columns)
+    left = got.where(~F.coalesce(emptied, F.lit(False)))
+    new = {"text": F.col("text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("n_dropped") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("_row")["n_chars"])
+    return left.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays; of rows that repeat it, one."""
-    stays = near_dedup.near_duplicates(docs, percent=80).where("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    """Of each group of near duplicates the document with the smallest id stays; of rows that repeat it, one.
+
+    Where ids repeat, id and text name the document. Texts without a word are no duplicates; rows that repeat one go.
+    """
+    small_batches(spark)
+    first = near_dedup.near_duplicates(docs, percent=80).where("is_first").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    same = docs["doc_id"].eqNullSafe(first["_id"]) & (F.xxhash64(docs["text"]) == first["_hash"])
+    return docs.join(first, same, "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go; the others stay unchanged."""
-    found = decontaminate.contamination(docs, table(spark, sf_dir, "benchmark"), keep=tuple(docs.columns))
-    return found.where(F.size("found") == 0).select(*docs.columns)
+    small_batches(spark)
+    found = decontaminate.contamination(own_columns(docs), table(spark, sf_dir, "benchmark"), keep=("_row",))
+    return found.where(F.size("found") == 0).select("_row.*")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids and decoded of every document that stays."""
+    small_batches(spark)
     got = bpe.decode(bpe.encode(docs))
     return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded")
 

@@ -23,7 +23,8 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.format_chats(table(spark, sf_dir, "conversations"))
+    """The table has no tool calls, so that every user's turn is made one and the turn behind it its result."""
+    return chat.format_chats(chat.question_calls(table(spark, sf_dir, "conversations")), chat.ANSWER)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -119,5 +120,5 @@ FROM named AS own LEFT JOIN fit ON own.host = fit.host AND own.path = fit.path J
 
 
 def oracle_sql() -> dict[str, str]:
-    own = {"op4_line_dedup": line_dedup.ORACLE, "op7_url_filter": OP7_SQL}
+    own = {"op3_chat_format": chat.ORACLE, "op4_line_dedup": line_dedup.ORACLE, "op7_url_filter": OP7_SQL}
     return own | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

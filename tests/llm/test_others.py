@@ -1,6 +1,7 @@
 """Chats, nearest neighbours, URL filters and HTML extraction."""
 
 import json
+import random
 
 import duckdb
 import numpy as np
@@ -39,7 +40,50 @@ def test_chat_links_orders_and_validates(spark):
 def test_chat_of_the_table(spark):
     rows = spark.read.parquet(f"{SF}/conversations.parquet").collect()
     want = sorted((r.conv_id, r.turn, json.dumps({"content": r.text, "role": r.role, "turn": r.turn}, separators=(",", ":"), ensure_ascii=False)) for r in rows)
-    assert sorted((r.conv_id, r.turn, r.json) for r in queries.op3_chat_format(spark, SF).collect()) == want
+    assert sorted((r.conv_id, r.turn, r.json) for r in chat.format_chats(spark.read.parquet(f"{SF}/conversations.parquet")).collect()) == want
+    c = duckdb.connect()
+    c.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{SF}/conversations.parquet')")
+    got, sql = queries.op3_chat_format(spark, SF), c.sql(chat.ORACLE)
+    names = ", ".join(f'"{c}"' for c in got.columns)
+    plain = lambda rows: sorted((tuple(tuple(v) if isinstance(v, list) else v for v in r) for r in rows), key=repr)
+    assert plain(got.collect()) == plain(c.sql(f"SELECT {names} FROM ({chat.ORACLE})").fetchall()) and sorted(sql.columns) == sorted(got.columns)
+
+
+def test_chat_order_of_generated_call_graphs(spark):
+    """Against a plain topological sort: levels are longest chains, cycles and what hangs on them have none."""
+    rnd, rows, graph, turns = random.Random(8), [], {}, {}
+    for conv in range(12):
+        for k in range(12):
+            calls = []
+            for j in range(rnd.randrange(1, 3)):
+                name = f"c{k}.{j}"
+                needs = sorted({f"c{rnd.randrange(max(1, k + (2 if rnd.random() < 0.1 else 0)))}.{rnd.randrange(2)}" for _ in range(rnd.randrange(3))})
+                calls.append({"id": name, "name": "calculate", "arguments": {"expression": "1"}, "depends_on": needs})
+                graph[conv, name], turns[conv, name] = needs, k
+            rows.append((conv, k, "assistant", json.dumps({"tool_calls": calls})))
+    want: dict = {}
+    for _ in range(len(graph)):
+        for (conv, name), needs in graph.items():
+            needs = [(conv, n) for n in needs if (conv, n) in graph]
+            if (conv, name) not in want and all(n in want for n in needs):
+                want[conv, name] = (max([turns[conv, name], *(want[n][0] for n in needs)]), max([0, *(want[n][1] + 1 for n in needs)]))
+    got = chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).where("kind = 'call'").collect()
+    assert len(got) == len(graph) and 0 < len(want) < len(graph)
+    assert {(r.conv_id, r.call_id): (r["at"], r.level) for r in got if r.status != "cyclic"} == want
+
+
+def test_chat_nested_schemas_and_numbers(spark):
+    tools = {"t": {"type": "object", "properties": {"a": {"type": "object", "properties": {"n": {"type": "integer"}}, "required": ["n"]}, "l": {"type": "array", "items": {"type": "string", "enum": ["x", "y"]}}, "e": {"enum": [1, "1", {"k": 2}]}}, "required": ["a"]}}
+    cases = {
+        '{"a":{"n":1.0},"l":["x","y"],"e":1.0}': [], '{"a":{"n":1e2}}': [], '{"a":{"n":1.5},"e":"1"}': ["type of a.n"], '{"a":{},"l":["x","z",3],"e":{"k":2}}': ["missing a.n", "type of l[]", "value of l[]"],
+        '{"a":[],"l":{},"e":2}': ["type of a", "type of l", "value of e"], '{"a":{"n":0,"z":1},"q":null}': ["unexpected a.z", "unexpected q"], "[]": ["arguments are no object"], '"{\\"a\\":{\\"n\\":3}}"': [], "{}": ["missing a"],
+    }
+    rows = [(1, k, "assistant", '{"tool_calls":[{"id":"c%d","name":"t","arguments":%s}]}' % (k, a)) for k, a in enumerate(cases)]
+    got = {r.turn: r.errors for r in chat.format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"), tools).where("kind = 'call'").collect()}
+    assert [got[k] for k in range(len(cases))] == list(cases.values())
+    numbers = {"1.0": "1", "1e2": "100", "-0.0": "0", "0": "0", "1.50": "1.5", "1E-3": "0.001", "123456789.25": "123456789.25", "1e21": "1e+21", "1.5e300": "1.5e+300", "0.000001": "0.000001", "1e-7": "1e-7", "12345678901234567890": "12345678901234567890", "-2.5E+3": "-2500"}
+    df = spark.createDataFrame([(k, "[%s,\"%s \\\"1.0\"]" % (k, k)) for k in numbers], "k string, t string")
+    assert {r.k: r.j for r in df.select("k", chat.canonical_numbers(F.col("t")).alias("j")).collect()} == {k: "[%s,\"%s \\\"1.0\"]" % (v, k) for k, v in numbers.items()}
 
 
 def test_nearest_of_few_and_odd_vectors(spark):

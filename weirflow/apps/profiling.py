@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from weirflow.functions import epoch_second, tagged_number, upper_median_rank
 from weirflow.model import table
+from weirflow.operators import enumerate_rows, lag_ranged
 from weirflow.registry import query
 
 #: The measurement window in seconds, and the threshold of an unstable run.
@@ -33,23 +34,36 @@ def latency(line: Column) -> Column:
 
 
 def counter_deltas(samples: DataFrame, op: str, at: str, count: str) -> DataFrame:
-    """Growth of cumulative counters, never negative; an op's first sample is dropped."""
-    last = F.lag(count).over(W.partitionBy(op).orderBy(at))
-    return samples.withColumn("delta", F.when(last.isNotNull(), F.greatest(F.col(count) - last, F.lit(0)))).where(F.col("delta").isNotNull())
+    """Growth of cumulative counters, never negative; an op's first sample is dropped. Samples are cut into ranges."""
+    out = lag_ranged(samples, [op], [at], count, "_last")
+    return out.where(F.col("_last").isNotNull()).withColumn("delta", F.greatest(F.col(count) - F.col("_last"), F.lit(0))).drop("_last")
 
 
 def upper_median(df: DataFrame, keys: list[str], value: str, tie: str) -> DataFrame:
-    w = W.partitionBy(*keys)
-    ranked = df.select(*keys, value, F.row_number().over(w.orderBy(value, tie)).alias("_r"), F.count(F.lit(1)).over(w).alias("_n"))
-    return ranked.where(F.col("_r") == upper_median_rank(F.col("_n"))).select(*keys, F.col(value).alias("median"))
+    """The upper median of each key: all rows are numbered in ranges, and a key's middle number is picked."""
+    own = enumerate_rows(df.select(*keys, value, tie), [*keys, value, tie], "_i")
+    middle = own.groupBy(*keys).agg((F.min("_i") + upper_median_rank(F.count(F.lit(1))) - 1).alias("_i")).select("_i")
+    return own.join(middle, "_i", "left_semi").select(*keys, F.col(value).alias("median"))
 
 
 def unstable(df: DataFrame, keys: list[str], second: str, value: str, window: tuple[int, int] = WINDOW) -> DataFrame:
-    """Whether (second highest - least in the window) / second highest is over UNSTABLE."""
-    ranked = df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(value), second)))
-    got = ranked.groupBy(*keys).agg(F.max(F.when(F.col("_r") == 2, F.col(value))).alias("_top"), F.min(F.when(F.col(second).between(*window), F.col(value))).alias("_low"))
+    """Whether (second highest - least in the window) / second highest is over UNSTABLE.
+
+    Each task keeps the two highest of a key only.
+    """
+    ranked = df.withColumn("_r", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(value), second))).where("_r <= 2")
+    top = ranked.groupBy(*keys).agg(F.max(F.when(F.col("_r") == 2, F.col(value))).alias("_top"))
+    low = df.groupBy(*keys).agg(F.min(F.when(F.col(second).between(*window), F.col(value))).alias("_low"))
     share = (F.col("_top") - F.col("_low")) / F.col("_top")
-    return got.select(*keys, F.coalesce(F.when(F.col("_top") > 0, share > UNSTABLE), F.lit(False)).alias("unstable"))
+    return top.join(low, keys).select(*keys, F.coalesce(F.when(F.col("_top") > 0, share > UNSTABLE), F.lit(False)).alias("unstable"))
+
+
+def histogram_percentiles(df: DataFrame, keys: list[str], value: str, **shares: float) -> DataFrame:
+    """Percentiles of a histogram with buckets of a thousandth, and the number of samples; a key's buckets are few."""
+    counts = df.groupBy(*keys, F.col(value).cast("decimal(18,3)").alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    w = W.partitionBy(*keys)
+    so_far = counts.withColumns({"_to": F.sum("_n").over(w.orderBy("_bucket")), "_all": F.sum("_n").over(w)})
+    return so_far.groupBy(*keys).agg(*[F.min(F.when(F.col("_to") >= q * F.col("_all"), F.col("_bucket"))).cast("double").alias(n) for n, q in shares.items()], F.max("_all").alias("samples"))
 
 
 def saturation(df: DataFrame, keys: list[str], cpu: Column, memory: Column, network: Column, io: Column) -> DataFrame:
@@ -58,6 +72,18 @@ def saturation(df: DataFrame, keys: list[str], cpu: Column, memory: Column, netw
     return df.groupBy(*keys).agg(F.max(share).alias("saturation"))
 
 
+def best_runs(df: DataFrame, keys: list[str], run: str, throughput: str) -> DataFrame:
+    """The rows of each key's run with the highest average throughput, the smaller run on ties."""
+    runs = df.groupBy(*keys, run).agg(F.avg(throughput).alias("_t"))
+    best = runs.groupBy(*keys).agg(F.max_by(run, F.struct("_t", -F.col(run))).alias(run))
+    return df.join(best, [*keys, run], "left_semi")
+
+
+def base_name(cluster: Column) -> Column:
+    """A cluster's name without the location of its part."""
+    return F.substring_index(cluster, "_loc", 1)
+
+
 def cost_of_size(ops: DataFrame, costs: DataFrame, size: str = "size", bytes_col: str = "bytes", cost: str = "cost") -> DataFrame:
     """Each op with the cost of the first calibrated size strictly above its message size, else of the last.
 
@@ -98,8 +124,7 @@ def prof_median(spark, d):
 
 @query("SELECT event_type AS op, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.99) AS p99, quantile_disc(value, 0.999) AS p999, count(*) AS samples FROM events GROUP BY 1")
 def prof_percentiles(spark, d):
-    p = [F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY value)").alias(n) for q, n in ((0.5, "p50"), (0.99, "p99"), (0.999, "p999"))]
-    return _events(spark, d).groupBy("op").agg(*p, F.count(F.lit(1)).alias("samples"))
+    return histogram_percentiles(_events(spark, d), ["op"], "value", p50=0.5, p99=0.99, p999=0.999)
 
 
 @query(f"SELECT event_type AS op, cast(floor(avg(user_id)) AS BIGINT) AS throughput FROM events WHERE {SEC} % 90 BETWEEN 30 AND 59 GROUP BY 1")
@@ -114,12 +139,20 @@ def prof_top3_runs(spark, d):
     return best.groupBy("op").agg(F.round(F.avg("n"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("n"), F.lit(0.0)), 6).alias("std"))
 
 
-_SATURATION = "SELECT user_id % 5 AS cluster, max(greatest(value / 100, (user_id % 100) / 100, value * 1e6 / 1.25e9, user_id / 12000)) AS saturation FROM events GROUP BY 1"
+_SATURATION = """
+SELECT workload, cluster, max(greatest(value / 100, (user_id % 100) / 100, value * 1e6 / 1.25e9, user_id / 12000)) AS saturation
+FROM (SELECT *, event_type AS workload, event_id % 3 AS run, 'c' || user_id % 5 || CASE WHEN user_id % 2 = 0 THEN '_loc' || user_id % 3 ELSE '' END AS cluster FROM events)
+JOIN (SELECT workload, run, row_number() OVER (PARTITION BY workload ORDER BY t DESC, run) AS r FROM (SELECT event_type AS workload, event_id % 3 AS run, avg(cast(user_id AS DOUBLE)) AS t FROM events GROUP BY 1, 2)) b USING (workload, run)
+WHERE r = 1 GROUP BY ALL"""
 
 
 def _saturation(spark, d):
-    e = _events(spark, d).withColumnRenamed("run", "cluster")
-    return saturation(e, ["cluster"], F.col("value"), F.col("user_id") % 100, F.col("value") * 1e6, F.col("user_id"))
+    """Clusters and their parts, a workload a type, runs of which the one with the most users counts."""
+    k = F.col("user_id")
+    cluster = F.concat(F.lit("c"), k % 5, F.when(k % 2 == 0, F.concat(F.lit("_loc"), k % 3)).otherwise(""))
+    e = _events(spark, d).select(F.col("op").alias("workload"), (F.col("event_id") % 3).alias("run"), cluster.alias("cluster"), "value", "user_id")
+    best = best_runs(e, ["workload"], "run", "user_id")
+    return saturation(best, ["workload", "cluster"], F.col("value"), k % 100, F.col("value") * 1e6, k)
 
 
 @query(_SATURATION)
@@ -127,9 +160,11 @@ def prof_saturation(spark, d):
     return _saturation(spark, d)
 
 
-@query(f"SELECT arg_max(cluster, (saturation, cluster)) AS cluster, max(saturation) AS saturation FROM ({_SATURATION}) WHERE cluster <> 0")
+@query(f"SELECT arg_max(cluster, (saturation, cluster)) AS cluster, max(saturation) AS saturation FROM (SELECT cluster, max(saturation) AS saturation FROM ({_SATURATION}) GROUP BY cluster) WHERE string_split(cluster, '_loc')[1] NOT IN ('c0', 'c4')")
 def prof_bottleneck(spark, d):
-    s = _saturation(spark, d).where("cluster <> 0")
+    """The most saturated cluster over all workloads, parts of the excluded ones left out."""
+    top = _saturation(spark, d).groupBy("cluster").agg(F.max("saturation").alias("saturation"))
+    s = top.where(~base_name(F.col("cluster")).isin("c0", "c4"))
     return s.agg(F.max_by("cluster", F.struct("saturation", "cluster")).alias("cluster"), F.max("saturation").alias("saturation"))
 
 

@@ -209,6 +209,19 @@ def enumerate_rows(flow: DataFrame, order_by: Sequence[str], name: str = "index"
     return scan(flow.withColumn("_one", F.lit(1).cast("long")), order_by, "_one", name, blocks).withColumn(name, F.col(name) - 1).drop("_one")
 
 
+def lag_ranged(flow: DataFrame, keys: Sequence[str], order_by: Sequence[str], value: str, name: str, blocks: int | None = None) -> DataFrame:
+    """The value of the row before within a key, by ranges as in ``scan``: a range's first row of a key takes the last
+    one of the key in the ranges before."""
+    own = _ranges(flow, [*keys, *order_by], blocks)
+    lasts = own.groupBy(*keys, "_part").agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order_by)).alias("_end"))
+    before = lasts.select(*keys, "_part", F.lag("_end").over(W.partitionBy(*keys).orderBy("_part")).alias("_end"))
+    w = W.partitionBy("_part", *keys).orderBy(*order_by)
+    rows = own.withColumns({"_before": F.lag(value).over(w), "_first": F.row_number().over(w) == 1})
+    here = fold_left(lambda x, y: x & y, [rows[k].eqNullSafe(before[k]) for k in keys], rows["_part"] == before["_part"])
+    joined = rows.join(before, here, "left").select(*[rows[c] for c in flow.columns], F.when(rows["_first"], F.col("_end.v")).otherwise(rows["_before"]).alias(name))
+    return joined
+
+
 def scan_until(flow: DataFrame, keys: Sequence[str], order_by: Sequence[str], init: Any, step: Callable[[Any, dict[str, Any]], tuple[Any, Any] | None], out: str, kind: str) -> DataFrame:
     """A general scan: ``step`` takes the key's state and a row and returns the new state and the row's ``out``; with
     None the key ends, and its later rows give nothing. ``init`` is the state before a key's first row.

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from weirflow import operators as op
-from weirflow import plans, sources
-from weirflow.apps import programs, profiling  # noqa: F401  their queries register themselves
+from weirflow import plans, sources, streaming
+from weirflow.apps import measurements, profiling, programs  # noqa: F401  their queries register themselves
 from weirflow.functions import departition, money, route
 from weirflow.model import table
 from weirflow.operators import ticks
@@ -94,6 +94,25 @@ def keys_view(spark, d):
     return op.unique(table(spark, d, "events").select("user_id"))
 
 
+@query("SELECT value FROM events")
+def values_view(spark, d):
+    return table(spark, d, "events").select("value")
+
+
+@query("SELECT user_id, event_type, value FROM events")
+def entries_view(spark, d):
+    """Keyed entries back as rows of a stream."""
+    keyed = table(spark, d, "events").select("user_id", F.struct("event_type", "value").alias("entry"))
+    return keyed.select("user_id", "entry.*")
+
+
+@query("SELECT a AND b AS both, a OR b AS either, NOT a AS no_a FROM (SELECT (SELECT count(*) FROM orders WHERE o_totalprice < 0) = 0 AS a, (SELECT count(*) FROM orders) = 0 AS b)")
+def flag_algebra(spark, d):
+    o = table(spark, d, "orders")
+    both = op.zip_singletons(op.is_empty(o.where("o_totalprice < 0"), "a"), op.is_empty(o, "b"))
+    return both.select((F.col("a") & F.col("b")).alias("both"), (F.col("a") | F.col("b")).alias("either"), (~F.col("a")).alias("no_a"))
+
+
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def inspect_rows(spark, d):
     seen, _ = op.inspect(table(spark, d, "events"), "events_seen", F.count(F.lit(1)).alias("rows"))
@@ -371,8 +390,17 @@ def cycle_closure(spark, d):
 
 @query(f"SELECT user_id, {SQL_DAY} AS day, max(value) AS top FROM events GROUP BY ALL")
 def reduce_keyed_watermark(spark, d):
-    e = table(spark, d, "events").withColumn("at", F.col("ts").cast("timestamp"))
-    return e.withWatermark("at", "1 day").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.max("value").alias("top"))
+    """As a stream over the table's files until they are read; the watermark retires keys of days gone by."""
+    e = sources.source_stream(spark, f"{d}/events*.parquet", table(spark, d, "events").schema)
+    days = streaming.reduce_keyed_watermark(e.withColumn("at", F.col("ts").cast("timestamp")), ["user_id"], "at", "400 days", "1 day", top=F.max("value"))
+    done = streaming.run_to_end(days)
+    return done.groupBy("user_id", F.to_date("window.start").alias("day")).agg(F.max_by("top", "batch").alias("top"))
+
+
+@query(f"SELECT user_id, {SQL_DAY} AS tick, arg_max(value, event_id) AS sampled FROM events GROUP BY ALL")
+def sample_eager(spark, d):
+    """A changing value sampled once a tick: its last state."""
+    return op.last_by(ticks.batch(table(spark, d, "events"), F.to_date("ts")), ["user_id", "tick"], F.col("event_id"), "value").withColumnRenamed("value", "sampled")
 
 
 # Network
@@ -383,6 +411,13 @@ def route_hash(spark, d):
     return table(spark, d, "events").select("event_id", route(F.col("user_id"), 4).alias("dest"))
 
 
+@query("SELECT event_id, event_id % 3 AS sender, user_id % 4 AS member FROM events")
+def demux(spark, d):
+    """Rows sent to the member that they name, each with the sender's id; a member's rows lie together."""
+    e = table(spark, d, "events").select("event_id", (F.col("event_id") % 3).alias("sender"), (F.col("user_id") % 4).alias("member"))
+    return e.repartition("member", "sender")
+
+
 @query("SELECT DISTINCT user_id, user_id // 4 AS member FROM events")
 def departition_ids(spark, d):
     return table(spark, d, "events").select("user_id", departition(F.col("user_id"), 4).alias("member")).distinct()

@@ -83,6 +83,26 @@ def test_locks_and_registers(spark):
     assert got(programs.cas_register(writes, "r", "at")) == [(1, 6, 4.0, 2, 3)]
 
 
+def test_lock_ranges_compose(spark):
+    """One hot lock over many ranges, against a plain fold."""
+    import random
+
+    rnd, rows, want = random.Random(2), [], {}
+    for at in range(3000):
+        lock, client = rnd.choice([1, 1, 1, 2, 3]), rnd.randrange(6)
+        acquire = rnd.random() < 0.5
+        rows.append((lock, client, acquire, at))
+        held = want.setdefault(lock, None)
+        if acquire and held is None:
+            want[lock] = client
+        elif not acquire and held == client:
+            want[lock] = None
+    log = spark.createDataFrame(rows, "lock long, client long, acquire boolean, at long")
+    for blocks in (1, 2, 13):
+        assert got(programs.lock_holders(log, "lock", "client", "acquire", "at", blocks)) == sorted(want.items(), key=repr)
+    assert got(programs.lock_holders(log.limit(0), "lock", "client", "acquire", "at")) == []
+
+
 def test_profiling_lines_and_stacks(spark):
     df = spark.createDataFrame([("THR: 1234.9 requests/s",), ("none",), (None,)], "line string")
     assert [r[0] for r in df.select(profiling.throughput(F.col("line"))).collect()] == [1234, None, None]

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from weirflow import operators as op
+from weirflow import sources
 from weirflow.functions import api_key
 from weirflow.model import table
 from weirflow.registry import query
@@ -20,18 +25,85 @@ def kv_lww(spark, d):
     return op.last_by(table(spark, d, "events"), ["user_id"], F.col("event_id"), "value")
 
 
-def lock_holders(log: DataFrame, lock: str, client: str, acquire: str, order: str) -> DataFrame:
-    """Holder of each lock after its log in arrival order: a free lock is taken, only its holder frees it.
+def lock_transitions(keys: list, clients: list, acquires: list) -> Iterator[tuple]:
+    """(lock, start, end) of a stretch of the logs, sorted by lock and order: the holder at its end for the holder at its start.
 
-    The log of one lock is folded in order; locks are independent and spread over the cluster.
+    None is no holder; a start that isn't listed ends as it began. Starts that meet in one state go on as one.
     """
-    steps = F.array_sort(F.collect_list(F.struct(order, client, acquire)))
-    free = F.lit(None).cast("long")
-
-    def step(holder, s):
-        return F.when(s[acquire] & holder.isNull(), s[client]).when(~s[acquire] & (holder == s[client]), free).otherwise(holder)
+    parent: list[int] = []
+    starts: dict = {}
+    at: dict = {}
+
+    def top(n: int) -> int:
+        while parent[n] != n:
+            parent[n] = parent[parent[n]]
+            n = parent[n]
+        return n
+
+    def put(state, node: int) -> None:
+        """The node's starts are in ``state`` now, with all others that are."""
+        if state in at:
+            parent[node] = at[state]
+        else:
+            at[state] = node
+
+    def new(start) -> None:
+        parent.append(len(parent))
+        starts[start] = parent[-1]
+        put(start, parent[-1])
+
+    def ends(lock) -> Iterator[tuple]:
+        state = {top(node): holder for holder, node in at.items()}
+        return ((lock, start, state[top(node)]) for start, node in starts.items())
+
+    last = keys[0] if keys else None
+    new(None)
+    for lock, client, acquire in zip(keys, clients, acquires, strict=True):
+        if lock != last:
+            yield from ends(last)
+            last = lock
+            parent.clear(), starts.clear(), at.clear()
+            new(None)
+        if not acquire and client not in starts:
+            new(client)
+        old, state = (None, client) if acquire else (client, None)
+        if old in at:
+            put(state, at.pop(old))
+    if keys:
+        yield from ends(last)
+
+
+def lock_holders(log: DataFrame, lock: str, client: str, acquire: str, order: str, blocks: int | None = None) -> DataFrame:
+    """Holder of each lock after its log in arrival order: a free lock is taken, only its holder frees it.
 
-    return log.groupBy(lock).agg(steps.alias("_s")).select(lock, F.aggregate("_s", free, step).alias("holder"))
+    The logs are cut into ranges of lock and order, each range becomes a table of transitions, and the tables of a
+    lock's ranges are composed in pairs, so that the log of one lock is never a group: as many rounds as the logarithm of
+    the ranges. A task holds one range.
+    """
+    n = blocks or int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kind = log.schema[lock].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        own = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        if own is not None:
+            rows = list(lock_transitions(*(own.column(k).to_pylist() for k in range(3))))
+            columns = [pa.array([r[0] for r in rows], own.schema.field(0).type), pa.array([part] * len(rows), pa.int64()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (1, 2))]
+            yield pa.RecordBatch.from_arrays(columns, names=["lock", "part", "start", "end"])
+
+    cut = log.repartitionByRange(n, lock, order).sortWithinPartitions(lock, order).select(lock, F.col(client).cast("long"), acquire)
+    moves = sources.saved(cut.mapInArrow(run, f"lock {kind}, part bigint, start bigint, end bigint"))
+    first = moves.groupBy(F.col("lock").alias("l")).agg(F.min("part").alias("least"))
+    moves = moves.join(first, F.col("lock").eqNullSafe(F.col("l"))).select("lock", (F.col("part") - F.col("least")).alias("part"), "start", "end")
+    while (moves.agg(F.max("part")).first()[0] or 0) > 0:
+        pair = F.floor(F.col("part") / 2).cast("long")
+        left = moves.where("part % 2 = 0").select("lock", pair.alias("part"), "start", "end")
+        right = moves.where("part % 2 = 1").select(F.col("lock").alias("l"), pair.alias("p"), F.col("start").alias("s"), F.col("end").alias("e"), F.lit(True).alias("moves"))
+        here = F.col("lock").eqNullSafe(F.col("l")) & (F.col("part") == F.col("p"))
+        through = left.join(right, here & F.col("end").eqNullSafe(F.col("s")), "left").select("lock", "part", "start", F.when(F.col("moves"), F.col("e")).otherwise(F.col("end")).alias("end"))
+        fresh = right.join(left, here & F.col("start").eqNullSafe(F.col("s")), "left_anti").select(F.col("l").alias("lock"), F.col("p").alias("part"), F.col("s").alias("start"), F.col("e").alias("end"))
+        moves = sources.saved(through.unionByName(fresh))
+    return moves.where("start is null").select(F.col("lock").alias(lock), F.col("end").alias("holder"))
 
 
 def lock_ticks(log: DataFrame) -> DataFrame:
@@ -79,15 +151,21 @@ def lock_tick(spark, d):
 
 
 def cas_register(log: DataFrame, register: str, order: str) -> DataFrame:
-    """Register after a log of (version, state, writer): the first write is taken, then the next version, or the same by the same writer."""
-    writes = F.array_sort(F.collect_list(F.struct(order, "version", "state", "writer")))
-    none = F.lit(None).cast("struct<version:bigint,state:double,writer:bigint,taken:bigint>")
+    """Register after a log of (version, state, writer): the first write is taken, then the next version, or the same by the same writer.
+
+    A write is taken or not by what was taken before it, so a register's log streams through one task, in order, with the
+    register as the only state in memory.
+    """
 
     def step(now, w):
-        ok = now.isNull() | (w["version"] == now["version"] + 1) | ((w["version"] == now["version"]) & (w["writer"] == now["writer"]))
-        return F.when(ok, F.struct(w["version"].alias("version"), w["state"].alias("state"), w["writer"].alias("writer"), (F.coalesce(now["taken"], F.lit(0)) + 1).cast("long").alias("taken"))).otherwise(now)
+        if now is not None and w["version"] != now[0] + 1 and (w["version"], w["writer"]) != (now[0], now[2]):
+            return now, None
+        now = (w["version"], w["state"], w["writer"], 1 if now is None else now[3] + 1)
+        return now, dict(zip(("version", "state", "writer", "taken"), now, strict=True))
 
-    return log.groupBy(register).agg(writes.alias("_w")).select(register, F.aggregate("_w", none, step).alias("_now")).select(register, "_now.*")
+    own = log.select(register, order, F.col("version").cast("long"), F.col("state").cast("double"), F.col("writer").cast("long"))
+    taken = op.scan_until(own, [register], [order], None, step, "_now", "struct<version:bigint,state:double,writer:bigint,taken:bigint>").where("_now is not null")
+    return taken.groupBy(register).agg(F.max_by("_now", "_now.taken").alias("_now")).select(register, "_now.*")
 
 
 @query("""
@@ -104,6 +182,13 @@ def cas_fold(spark, d):
     return cas_register(log, "register", "event_id")
 
 
+@query("SELECT user_id AS register, cast(ts AS DATE) AS tick, arg_max(value, event_id) AS state FROM events WHERE event_type <> 'view' GROUP BY ALL")
+def cas_reads(spark, d):
+    """What a read in a tick returns: the last write that the tick attempted, taken or not; none without a write."""
+    writes = table(spark, d, "events").where("event_type <> 'view'").select(F.col("user_id").alias("register"), F.to_date("ts").alias("tick"), "event_id", F.col("value").alias("state"))
+    return op.last_by(writes, ["register", "tick"], F.col("event_id"), "state")
+
+
 @query("SELECT event_id, user_id AS client_id, props AS payload, row_number() OVER (PARTITION BY user_id ORDER BY event_id) * 3 - 2 AS counter FROM events")
 def encrypt_pipeline(spark, d):
     """Decrypt, copy, count the copies of a client, keep copy 0, encrypt; compared decrypted."""

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from weirflow.operators import chain, enumerate_rows
+
 
 def batch(flow: DataFrame, tick: Column, name: str = "tick") -> DataFrame:
     return flow.withColumn(name, tick)
@@ -35,9 +37,18 @@ def defer(per_tick: DataFrame, keys: Sequence[str], tick: str, *values: str) ->
 
 
 def persist(flow: DataFrame, ticks: DataFrame, tick: str) -> DataFrame:
-    """At each tick everything that has come so far; its size is the operator's own."""
-    at = ticks.select(F.col(tick).alias("at")).distinct()
-    return flow.join(F.broadcast(at), F.col(tick) <= F.col("at")).drop(tick).withColumnRenamed("at", tick)
+    """At each tick everything that has come so far; its size is the operator's own.
+
+    Ticks are numbered, a row meets the numbers from its own on by equality, so no table need fit in a broadcast. Null
+    ticks come at no tick.
+    """
+    asked = ticks.select(F.col(tick).alias("_at")).where("_at is not null").distinct()
+    every = flow.select(F.col(tick).alias("_at")).where("_at is not null").distinct().withColumn("_asked", F.lit(0)).unionByName(asked.withColumn("_asked", F.lit(1)))
+    numbers = enumerate_rows(every.groupBy("_at").agg(F.max("_asked").alias("_asked")), ["_at"], "_i")
+    last = numbers.agg(F.max("_i")).first()[0] or 0
+    begun = flow.join(numbers.select("_at", "_i"), F.col(tick) == F.col("_at")).drop(tick, "_at")
+    each = begun.withColumn("_i", F.explode(F.sequence(F.col("_i"), F.lit(last).cast("long"))))
+    return each.join(numbers.where("_asked = 1").select("_i", F.col("_at").alias(tick)), "_i").drop("_i")
 
 
 def delta(flow: DataFrame, keys: Sequence[str], tick: str) -> DataFrame:
@@ -56,14 +67,17 @@ def cycle(start: DataFrame, step: Callable[[DataFrame], DataFrame], save: Callab
 
     ``save`` cuts the lineage of a round (a checkpoint or a written table).
     """
-    known = new = save(start.distinct())
+    new = save(start.distinct())
+    parts = [new]
     while not new.isEmpty():
-        found = step(new).distinct()
+        found, known = step(new).distinct(), chain(*parts)
         other = known.select(*[F.col(c).alias(f"_{c}") for c in known.columns])
         same = None
         for c in known.columns:
             e = found[c].eqNullSafe(other[f"_{c}"])
             same = e if same is None else same & e
         new = save(found.join(other, same, "left_anti"))
-        known = save(known.unionByName(new))
-    return known
+        parts.append(new)
+        if len(parts) > 16:  # so that the plan stays small; a row is written again once in so many rounds
+            parts = [save(chain(*parts))]
+    return chain(*parts)

@@ -80,7 +80,8 @@ def telling(lines: DataFrame, texts: DataFrame, min_docs: int) -> DataFrame:
     """The ``texts`` (t, size) that have a share of OWN in lines (t, no, bytes, head, tail) of their own."""
     own = lines.join(texts.select("t"), "t", "left_semi").select("t", "no", "bytes", "head", "tail").distinct()
     edges = own.select("t", "no", "bytes", F.explode(F.array_distinct(F.array("head", "tail"))).alias("edge"))
-    held = edges.join(recurring(edges, "edge", min_docs), "edge", "left_semi").select("t", "no", "bytes").distinct().groupBy("t").agg(F.sum("bytes").alias("held"))
+    common = written(recurring(edges, "edge", min_docs), "edges")
+    held = edges.join(common, "edge", "left_semi").select("t", "no", "bytes").distinct().groupBy("t").agg(F.sum("bytes").alias("held"))
     return texts.join(held, "t", "left").where(F.col("size") - F.coalesce("held", F.lit(0)) >= OWN * F.col("size")).select("t")
 
 
@@ -111,7 +112,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = written(found.withColumn("h", F.xxhash64("line")), "found")
     distinct = found.select("leaf", "h", "line", "t").distinct().groupBy("leaf", "h", "line").agg(F.count(F.lit(1)).alias("texts"))
     keyed = found.drop("line", "leaf").join(line_templates(written(distinct, "distinct")), "h").drop("h")
-    hits = written(keyed.join(recurring(keyed, "key", min_docs), "key", "left_semi"), "hits")
+    # Written keys share no exchange with the rows that they pick, so that a hot key's rows can be dealt out.
+    hits = written(keyed.join(written(recurring(keyed, "key", min_docs), "keys"), "key", "left_semi"), "hits")
     tells = telling(known, hits.groupBy("t").agg(F.max("size").alias("size")), min_docs)
     keys = written(recurring(hits.select("key", "t").distinct().join(tells, "t", "left_semi"), "key", min_docs), "templates")
     hits = hits.join(keys, "key", "left_semi").select("key", "id", "k", "no")

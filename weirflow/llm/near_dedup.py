@@ -31,7 +31,7 @@ def _sketch() -> SetSketch:
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
-    """id, t, c, n, regs: the text's hash, the set's key and size and its registers (two bytes each); empty sets have n = 0."""
+    """id, t, key, n, regs: the text's hash, the set's name and size and its registers (two bytes each); empty sets have n = 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = _sketch()
@@ -44,10 +44,10 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                     key.append(set_key(s))
                     n.append(len(s))
                     regs.append(sketch.registers(s).astype("<u2").tobytes() if len(s) else b"")
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(regs, pa.binary())], names=["id", "t", "c", "n", "regs"])
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(key, pa.binary()), pa.array(n, pa.int64()), pa.array(regs, pa.binary())], names=["id", "t", "key", "n", "regs"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _named(docs, id_col, text_col).mapInArrow(run, f"id {kind}, t bigint, c binary, n bigint, regs binary")
+    return _named(docs, id_col, text_col).mapInArrow(run, f"id {kind}, t bigint, key binary, n bigint, regs binary")
 
 
 def _named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -70,7 +70,7 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
     side = lambda s: classes.select(F.col("c").alias(s), F.col("n").alias(f"n{s}"), F.col("regs").alias(f"r{s}"))
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
-    return sized.mapInArrow(run, "a binary, b binary")
+    return sized.mapInArrow(run, "a bigint, b bigint")
 
 
 def packed_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -94,7 +94,7 @@ def packed_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
     own = _named(docs, id_col, text_col)
     this = F.col("id").eqNullSafe(F.col("rid")) & (F.col("t") == F.col("rt"))
     if wanted.count() <= FEW:
-        found = own.join(F.broadcast(wanted), this).select("c", "text").mapInArrow(pack, "c binary, z binary")
+        found = own.join(F.broadcast(wanted), this).select("c", "text").mapInArrow(pack, "c bigint, z binary")
     else:
         found = own.mapInArrow(pack, f"id {kind}, t bigint, z binary").join(wanted, this).select("c", "z")
     return found.groupBy("c").agg(F.any_value("z").alias("z"))
@@ -121,7 +121,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, percent: int, k: int) -> DataF
             yield pa.RecordBatch.from_arrays([b.column("a"), b.column("b")], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     side = lambda s: texts.select(F.col("c").alias(s), F.col("z").alias(f"z{s}"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "za", "zb").mapInArrow(run, "a binary, b binary").distinct()
+    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "za", "zb").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def banded(classes: DataFrame) -> DataFrame:
@@ -177,7 +177,7 @@ def remaining(own: DataFrame, buckets: DataFrame, classes: DataFrame, texts: Dat
 
         unpack, sketch, sets = zstd.ZstdDecompressor(), _sketch(), {}
 
-        def full(c: bytes, z: bytes) -> np.ndarray:
+        def full(c: int, z: bytes) -> np.ndarray:
             if c not in sets:
                 sets[c] = shingle_set(unpack.decompress(z), k)
             return sets[c]
@@ -204,9 +204,9 @@ def remaining(own: DataFrame, buckets: DataFrame, classes: DataFrame, texts: Dat
                 if both and 100 * both >= percent * (len(mine) + len(other) - both):
                     a.append(min(xc[p], yc[q]))
                     b.append(max(xc[p], yc[q]))
-        return pd.DataFrame({"a": a, "b": b}, dtype=object)
+        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
 
-    return left.unionByName(right).groupBy("key", "l", "r").applyInPandas(meet, "a binary, b binary").distinct()
+    return left.unionByName(right).groupBy("key", "l", "r").applyInPandas(meet, "a bigint, b bigint").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, k: int = 5) -> DataFrame:
@@ -227,8 +227,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     sketch = written(sketches(docs, id_col, text_col, k), "sketches")
     one = F.struct(F.col("id").isNull().alias("none"), "id", "t")
-    classes = sketch.where("n > 0").groupBy("c").agg(F.min(one).alias("one"), F.first("n").alias("n"), F.first("regs").alias("regs"))
-    classes = written(classes.select("c", F.col("one.id").alias("id"), F.col("one.id").alias("rid"), F.col("one.t").alias("rt"), "n", "regs"), "classes")
+    classes = sketch.where("n > 0").groupBy("key").agg(F.min(one).alias("one"), F.first("n").alias("n"), F.first("regs").alias("regs"))
+    # Written once, so that a class keeps its number c.
+    classes = written(classes.select("key", F.monotonically_increasing_id().alias("c"), F.col("one.id").alias("id"), F.col("one.id").alias("rid"), F.col("one.t").alias("rt"), "n", "regs"), "classes")
     bands = banded(classes)
     few = written(likely(stars(bands.where(F.col("band") < FIRST_BANDS), None), classes, percent), "pairs")
     texts = written(packed_texts(docs, wanted(few, classes), id_col, text_col), "texts")
@@ -245,11 +246,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     own, buckets = open_buckets(bands, labels)
     links = written(links.unionByName(remaining(own, buckets, classes, texts, percent, k)), "links")
     labels = components(links)
-    parts = classes.select("c", "rid", "rt").join(labels, "c", "left").select("c", F.struct(F.col("rid").isNull().alias("none"), "rid", "rt").alias("one"), F.coalesce("label", "c").alias("label"))
+    parts = classes.select("key", "c", "rid", "rt").join(labels, "c", "left").select("key", F.struct(F.col("rid").isNull().alias("none"), "rid", "rt").alias("one"), F.coalesce("label", "c").alias("label"))
     least = parts.groupBy("label").agg(F.min("one").alias("least"))
-    named = parts.join(least, "label").select("c", "least")
-    out = sketch.select("id", "t", "n", F.when(F.col("n") > 0, F.col("c")).alias("c")).join(named, "c", "left")
-    alone = F.col("c").isNull()
+    named = parts.join(least, "label").select("key", "least")
+    out = sketch.select("id", "t", "n", F.when(F.col("n") > 0, F.col("key")).alias("key")).join(named, "key", "left")
+    alone = F.col("key").isNull()
     component = F.when(alone, F.col("id")).otherwise(F.col("least.rid"))
     kept = F.col("id").eqNullSafe(component)
     return out.select(

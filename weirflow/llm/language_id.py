@@ -17,6 +17,8 @@ NOT_LETTERS = re.compile(r"[\W\d_]+")
 UNKNOWN = "und"
 #: The production margin: ties and near ties are rejected.
 MIN_MARGIN = 0.001
+#: Letters of a text's first block.
+HEAD = 1 << 10
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -105,17 +107,17 @@ class Classifier:
     def predict(self, text: str | None) -> tuple[str, float]:
         """(language, score): the score is the share of bytes by which the best dictionary beats the second.
 
-        Every block of the text counts, and the first one is also compressed behind each of the language's carriers,
-        whose own size is taken off again: so even a few words are coded with the language's letter statistics, where
-        alone they would be stored raw at the same size for all. Equal sizes go to the language with more labelled
-        documents, with score 0.
+        Every block of the text counts. The first HEAD letters are a block, which is also compressed behind each of the
+        language's carriers, whose own size is taken off again: so even a few words are coded with the language's letter
+        statistics, where alone they would be stored raw at the same size for all. Equal sizes go to the language with
+        more labelled documents, with score 0.
         """
         words = letters(text) if text else ""
         if not words or not self.langs:
             return UNKNOWN, 0.0
         size = [0] * len(self.langs)
-        for at in range(0, len(words), self.block):
-            block = f" {words[at : at + self.block]} ".encode()
+        for at in (0, *range(HEAD, len(words), self.block)):
+            block = f" {words[at : at + (self.block if at else HEAD)]} ".encode()
             for k, (c, carriers) in enumerate(self.compressors):
                 size[k] += len(c.compress(block))
                 if at == 0:

@@ -275,3 +275,19 @@ def test_stages_take_nothing_and_nulls(spark, stage):
     got = stage(spark, clash, SF)
     assert got.columns == clash.columns or stage is corpus_pipeline.token_stage
     assert got.count() <= 3
+
+
+def test_very_long_texts(spark):
+    """Texts of a megabyte, beside short ones, through the stages that compare documents."""
+    words = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in range(1000)]
+    long = "\n".join(" ".join(words[k : k + 9]) for k in range(0, len(words), 3))
+    assert len(long) > 200_000
+    rows = [(1, long * 3), (2, long * 3 + " end"), (3, "short text of five words"), (4, long)]
+    df = rows_of(spark, rows)
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.line_dedup(df).collect()}
+    assert got[1] == (long * 3, 0) and got[4] == (long, 0) and got[3] == (rows[2][1], 0)
+    assert found(df, rows, spark, 85) == brute_components(rows, 85)
+    b = spark.createDataFrame([(7, " ".join(words[5000:5040]))], "item_id long, text string")
+    assert {r.doc_id: bool(r.found) for r in decontaminate.contamination(df, b).collect()} == {1: False, 2: False, 3: False, 4: False}
+    b = spark.createDataFrame([(7, " ".join(words[5001:5010]))], "item_id long, text string")
+    assert {r.doc_id: bool(r.found) for r in decontaminate.contamination(df, b).collect()} == {1: True, 2: True, 3: False, 4: True}

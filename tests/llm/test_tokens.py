@@ -60,7 +60,7 @@ def test_op1_on_the_table(spark, library):
 
 def test_token_counts(spark, library):
     df = spark.createDataFrame(ODD, "doc_id long, text string").withColumn("n_tokens", F.lit("clash"))
-    got = sorted(map(tuple, token_counts.token_counts(df, piece_chars=1000, batch_chars=5000).collect()), key=repr)
+    got = sorted(map(tuple, token_counts.token_counts(df, piece_chars=1000, batch_bytes=5000).collect()), key=repr)
     want = [(i, len((t or "").encode()), n := len(library.encode(t or "", add_special_tokens=False).ids), n > 512) for i, t in ODD]
     assert got == sorted(want, key=repr)
 

@@ -18,10 +18,11 @@ from weirflow.llm.common import once, written
 
 #: Bounds of the sample that the tree is fitted on and of the queries that calibrate it.
 SAMPLE, CALIBRATION = 20_000, 400
-#: Vectors that a leaf should hold; a node has at most BRANCH children, and the broadcast tree at most LEAVES leaves.
-LEAF, BRANCH, LEAVES = 256, 12, 1728
 #: Members of a leaf, and queries, that one task compares at once.
 MEMBER_BLOCK, QUERY_BLOCK = 4096, 2048
+#: Vectors that a leaf should hold, one block of members, as each leaf that a query visits returns its k best; a node has
+#: at most BRANCH children, and the broadcast tree at most LEAVES leaves.
+LEAF, BRANCH, LEAVES = MEMBER_BLOCK, 12, 1728
 
 
 @dataclass(frozen=True)

@@ -99,7 +99,7 @@ def test_nearest_of_few_and_odd_vectors(spark):
 
 
 def test_tree_shape_follows_the_table():
-    assert ann.shape(1) == (2, 1) and ann.shape(10_000) == (7, 2) and ann.shape(10**12) == (12, 3)
+    assert ann.shape(1) == (2, 1) and ann.shape(10_000) == (3, 1) and ann.shape(100_000) == (5, 2) and ann.shape(10**12) == (12, 3)
 
 
 def test_nearest_recall(spark):

@@ -169,6 +169,23 @@ def test_line_dedup_tells_documents_apart_by_more_than_one_line(spark):
     assert all(got[k].n_dropped == 0 for k in got if k >= 100)
 
 
+def splits(df):
+    """How often a row's text is split in the optimized plan of ``df``."""
+    return df._jdf.queryExecution().optimizedPlan().toString().count("split(text")
+
+
+def test_line_dedup_splits_a_text_once(spark):
+    """Not in a filter that Spark infers, nor for every line that stays."""
+    df = rows_of(spark, [(1, "a\nb\n\nc d\n"), (2, ""), (3, "\n\n"), (4, "one"), (5, "\t\n x \n\r")])
+    assert splits(line_dedup.lines_of(df, "doc_id", "text")) == 1
+    got = line_dedup.lines_of(df, "doc_id", "text").select("id", "no", "line", "plain").collect()
+    assert sorted(map(tuple, got)) == [(1, 0, "a", "a"), (1, 1, "b", "b"), (1, 3, "c d", "c d"), (4, 0, "one", "one"), (5, 1, " x ", "x")]
+    gone = F.when(F.col("doc_id") == 3, F.array(F.lit(0), F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1), F.lit(0)))
+    df = df.select("doc_id", line_dedup.without_lines(F.col("text"), gone).alias("left"))
+    assert splits(df) == 1
+    assert {r.doc_id: r.left for r in df.collect()} == {1: "\nc d\n", 2: "", 3: "", 4: "", 5: "\r"}
+
+
 def test_op4_matches_its_oracle(spark):
     c = duckdb.connect()
     c.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")

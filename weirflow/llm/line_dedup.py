@@ -44,11 +44,19 @@ def lines_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, k, t, size, no, line, plain, leaf: a row for each line with a token. t names the text of ``size`` bytes, k the row."""
     text = F.col(text_col)
     own = docs.where(text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("t"), F.octet_length(text).alias("size"), F.split(text, "\n").alias("lines"))
-    each = own.select("id", row_key("id", "t").alias("k"), "t", "size", F.posexplode("lines").alias("no", "line"))
-    each = each.withColumn("plain", plain_line(F.col("line"))).where("plain <> ''")
+    # Outer, as Spark else infers a filter on the size of the array that splits every text twice more; none is empty.
+    each = own.select("id", row_key("id", "t").alias("k"), "t", "size", F.posexplode_outer("lines").alias("no", "line"))
+    each = each.where(F.ltrim("line", F.lit("\t\v\f\r ")) != "").withColumn("plain", plain_line(F.col("line")))
     return each.withColumn("leaf", leaf_of(F.col("plain")))
 
 
+def without_lines(text: Column, gone: Column) -> Column:
+    """``text`` without the lines whose numbers are in ``gone``. The text is split once, not for every line that stays."""
+    kept = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    joined = lambda lines: F.array_join(F.transform(kept(lines), lambda i: lines[i]), "\n")
+    return F.transform(F.array(F.split(text, "\n")), joined)[0]
+
+
 def row_key(id_col: str, hash_col: str) -> Column:
     return F.xxhash64(F.col(id_col).cast("string"), F.lit("|"), F.col(hash_col))
 
@@ -111,7 +119,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = lines.join(busy, "leaf").select("id", "k", "no", "t", "size", "leaf", masked(F.col("plain")).alias("line"))
     found = written(found.withColumn("h", F.xxhash64("line")), "found")
     distinct = found.select("leaf", "h", "line", "t").distinct().groupBy("leaf", "h", "line").agg(F.count(F.lit(1)).alias("texts"))
-    keyed = found.drop("line", "leaf").join(line_templates(written(distinct, "distinct")), "h").drop("h")
+    keyed = found.drop("line", "leaf").join(written(line_templates(written(distinct, "distinct")), "keyed"), "h").drop("h")
     # Written keys share no exchange with the rows that they pick, so that a hot key's rows can be dealt out.
     hits = written(keyed.join(written(recurring(keyed, "key", min_docs), "keys"), "key", "left_semi"), "hits")
     tells = telling(known, hits.groupBy("t").agg(F.max("size").alias("size")), min_docs)
@@ -124,9 +132,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     names = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     own = docs.select(*names, F.xxhash64(text_col).alias("_t")).withColumn("_own", row_key(id_col, "_t"))
     both = own.join(gone.hint("shuffle_hash"), (F.col("_own") == F.col("_k")) & F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    split = F.split(F.col(text_col), "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: split[i]), "\n"))
+    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(without_lines(F.col(text_col), F.col("_gone")))
     n = F.when(F.col(text_col).isNull(), 0).otherwise(F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1).cast("long")
     return both.select(*[text.alias(c) if c == text_col else F.col(c) for c in names], n.alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_dropped"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.llm import bpe, decontaminate, language_id, line_dedup, near_dedup
@@ -10,16 +10,21 @@ from weirflow.llm.common import small_batches, table, written
 
 
 def own_columns(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the whole row beside them, so that no column of the row clashes with an operator's."""
-    return docs.select("doc_id", "text", F.struct(*docs.columns).alias("_row"))
+    """doc_id, text and the rest of the row beside them, so that no column of the row clashes with an operator's."""
+    return docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"))
+
+
+def row_of(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs`` from ``own_columns`` of it."""
+    return [F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns]
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is rejected (no letters, or a tie of two languages) go; the others stay unchanged."""
     small_batches(spark)
     profiles = language_id.train_profiles(docs)
-    got = language_id.identify(own_columns(docs), profiles, min_margin=language_id.MIN_MARGIN, keep=("_row",))
-    return got.where(~F.col("rejected")).select("_row.*")
+    got = language_id.identify(own_columns(docs), profiles, min_margin=language_id.MIN_MARGIN, keep=("text", "_row"))
+    return got.where(~F.col("rejected")).select(*row_of(docs))
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +53,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go; the others stay unchanged."""
     small_batches(spark)
-    found = decontaminate.contamination(own_columns(docs), table(spark, sf_dir, "benchmark"), keep=("_row",))
-    return found.where(F.size("found") == 0).select("_row.*")
+    found = decontaminate.contamination(own_columns(docs), table(spark, sf_dir, "benchmark"), keep=("text", "_row"))
+    return found.where(F.size("found") == 0).select(*row_of(docs))
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

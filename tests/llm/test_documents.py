@@ -283,6 +283,23 @@ def test_pipeline_stages(spark, tmp_path):
     assert bpe.RUN > 0
 
 
+def test_pipeline_passes_a_text_on_once(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    own = corpus_pipeline.own_columns(docs)
+    assert own.columns == ["doc_id", "text", "_row"] and "text" not in own.schema["_row"].dataType.names
+    assert own.select(*corpus_pipeline.row_of(docs)).schema == docs.schema
+    profiles = language_id.train_profiles(docs)
+    kept = language_id.identify(own, profiles, keep=("text", "_row")).select("doc_id", "text", "lang_pred", "score", "rejected").collect()
+    plain = {r.doc_id: r for r in language_id.identify(docs, profiles).collect()}
+    assert {r.doc_id: r.text for r in kept} == {r.doc_id: r.text for r in docs.collect()}
+    assert all(tuple(plain[r.doc_id]) == (r.doc_id, *r[2:]) for r in kept) and len(kept) == len(plain)
+    b = spark.read.parquet(f"{SF}/benchmark.parquet")
+    kept = decontaminate.contamination(own, b, keep=("text", "_row")).select("doc_id", "text", "found").collect()
+    plain = {r.doc_id: r.found for r in decontaminate.contamination(docs, b).collect()}
+    assert {(r.doc_id, r.text) for r in kept} == {(r.doc_id, r.text) for r in docs.collect()}
+    assert all(plain[r.doc_id] == r.found for r in kept) and len(kept) == len(plain)
+
+
 @pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES])
 def test_stages_take_nothing_and_nulls(spark, stage):
     one = spark.createDataFrame([(None, None, None, None, None), (1, "the same text of a few words", "en", "s", 28), (1, "the same text of a few words", "en", "s", 28)], "doc_id long, text string, lang string, source string, n_chars long")

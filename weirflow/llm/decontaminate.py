@@ -191,7 +191,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = 1 + total // block_bytes
     names = list(dict.fromkeys([id_col, *keep]))
-    own = docs.select(F.struct(*[F.col(c).alias(f"c{j}") for j, c in enumerate(names)], F.xxhash64(text_col).alias("h")).alias("row"), F.col(text_col).alias("text"))
+    at = names.index(text_col) if text_col in names else None  # a text that is kept goes to the tasks once
+    row = F.struct(*[F.col(c).alias(f"c{j}") for j, c in enumerate(names)], F.xxhash64(text_col).alias("h"))
+    own = docs.select(row.alias("row"), *([F.col(text_col).alias("text")] if at is None else []))
     spans = "array<struct<item_id:bigint,edits:int,start:int,end:int>>"
     kind = own.schema["row"].dataType.simpleString()
     kind_of = pa.list_(pa.struct([("item_id", pa.int64()), ("edits", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -203,7 +205,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = once(("benchmark", b, hash(tuple(shared.value))), lambda: Index(shared.value, q, edits))
             for whole in batches:
-                raw = whole.column(1).to_pylist()
+                raw = (whole.column(1) if at is None else whole.column(0).field(at)).to_pylist()
                 for lo, hi in byte_batches(raw, RUN):
                     found = index.search([normal(t) for t in raw[lo:hi]])
                     rows = [[dict(zip(("item_id", "edits", "start", "end"), s, strict=True)) for s in f] for f in found]
